@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from sparkcohort.llm.mixing import mix_sources
 from sparkcohort.llm.packing import pack_documents
+from sparkcohort.llm.reputation import judge_urls
+from sparkcohort.llm.rules import score_quality
 from sparkcohort.llm.warc import round_trip
 
 
@@ -19,6 +21,11 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+def op2_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = score_quality(table(spark, sf_dir, "documents"))
+    return scored.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "posterior")
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = round_trip(table(spark, sf_dir, "pages"), least_bytes=0)
     return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -36,6 +43,43 @@ FROM d
 """
 
 
+def op7_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = judge_urls(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
+OP7_SQL = """
+WITH a AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN split_part(split_part(substr(url, strpos(url, '://') + 3), '#', 1), '?', 1) ELSE '' END AS x FROM pages),
+p AS (SELECT page_id, translate(split_part(x, '/', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+  substr(x, length(split_part(x, '/', 1)) + 1) AS path FROM (SELECT page_id, coalesce(x, '') AS x FROM a)),
+g AS (SELECT *, array_to_string(list_slice(string_split(host, '.'), -2, -1), '.') AS dom, list_extract(string_split(host, '.'), -1) AS suf FROM p),
+t AS (SELECT doc_id, min(quality) AS good FROM labels WHERE quality IS NOT NULL GROUP BY doc_id),
+o AS (SELECT host, dom, suf, good FROM g JOIN t ON t.doc_id = TRY_CAST(regexp_extract(path, '^/[^/]+/([0-9]{1,18})(?:\\.html|/)?$', 1) AS BIGINT) WHERE host <> ''),
+r AS (SELECT (1 + coalesce(sum(good), 0)) / (2.0 + count(*)) AS root FROM o),
+s0 AS (SELECT suf, count(*) AS n, sum(good) AS k, (SELECT root FROM r) AS prior FROM o GROUP BY suf),
+m0 AS (SELECT CASE WHEN spread > 0 THEN least(1000, greatest(2.0, w / spread - 1)) ELSE 1000 END AS m FROM (SELECT CASE WHEN sum(n) * sum(n) > sum(n * n) THEN (sum(n * (k / n - prior) ** 2) - (count(*) - 1) * (SELECT root * (1 - root) FROM r)) / (sum(n) - sum(n * n) / sum(n)) ELSE 0 END AS spread, (SELECT root * (1 - root) FROM r) AS w FROM s0)),
+s1 AS (SELECT suf, (m * prior + k) / (m + n) AS mean FROM s0, m0),
+d0 AS (SELECT o.suf, dom, count(*) AS n, sum(good) AS k, any_value(s1.mean) AS prior FROM o JOIN s1 USING (suf) GROUP BY o.suf, dom),
+m1 AS (SELECT CASE WHEN spread > 0 THEN least(1000, greatest(2.0, w / spread - 1)) ELSE 1000 END AS m FROM (SELECT CASE WHEN sum(n) * sum(n) > sum(n * n) THEN (sum(n * (k / n - prior) ** 2) - (count(*) - 1) * (SELECT root * (1 - root) FROM r)) / (sum(n) - sum(n * n) / sum(n)) ELSE 0 END AS spread, (SELECT root * (1 - root) FROM r) AS w FROM d0)),
+d1 AS (SELECT dom, (m * prior + k) / (m + n) AS mean FROM d0, m1),
+h0 AS (SELECT host, count(*) AS n, sum(good) AS k, any_value(d1.mean) AS prior FROM o JOIN d1 USING (dom) GROUP BY host),
+m2 AS (SELECT CASE WHEN spread > 0 THEN least(1000, greatest(2.0, w / spread - 1)) ELSE 1000 END AS m FROM (SELECT CASE WHEN sum(n) * sum(n) > sum(n * n) THEN (sum(n * (k / n - prior) ** 2) - (count(*) - 1) * (SELECT root * (1 - root) FROM r)) / (sum(n) - sum(n * n) / sum(n)) ELSE 0 END AS spread, (SELECT root * (1 - root) FROM r) AS w FROM h0)),
+h1 AS (SELECT host, m * prior + k AS alpha, m * (1 - prior) + n - k AS beta FROM h0, m2),
+j AS (SELECT g.page_id, g.host, g.path, coalesce(h1.alpha, (SELECT m FROM m2) * coalesce(d1.mean, s1.mean, (SELECT root FROM r))) AS alpha,
+  coalesce(h1.beta, (SELECT m FROM m2) * (1 - coalesce(d1.mean, s1.mean, (SELECT root FROM r)))) AS beta
+  FROM g LEFT JOIN h1 ON g.host = h1.host LEFT JOIN d1 ON g.dom = d1.dom LEFT JOIN s1 ON g.suf = s1.suf),
+b AS (SELECT *, alpha / (alpha + beta) - 1.645 * sqrt(alpha * beta / ((alpha + beta) * (alpha + beta) * (alpha + beta + 1))) AS bound,
+  CASE WHEN (host = 'example.org' OR host LIKE '%.example.org') AND starts_with(path, '/en/1') THEN 'example.org/en/1'
+       WHEN (host = 'example.org' OR host LIKE '%.example.org') AND starts_with(path, '/es/') THEN 'example.org/es/'
+       WHEN (host = 'com' OR host LIKE '%.com') AND starts_with(path, '/fr/') THEN 'com/fr/'
+       WHEN (host = 'com' OR host LIKE '%.com') AND starts_with(path, '/de/') THEN 'com/de/'
+       WHEN (host = 'org' OR host LIKE '%.org') AND starts_with(path, '/') THEN 'org/' END AS rule FROM j)
+SELECT page_id, host, path, rule,
+  CASE WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' WHEN bound >= 0.75 THEN 'allow' ELSE 'block' END AS verdict
+FROM b
+"""
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = pack_documents(table(spark, sf_dir, "documents"))
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
@@ -43,9 +87,12 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_mixing": op1_mixing,
+    "op2_rules": op2_rules,
     "op5_warc": op5_warc,
+    "op7_urls": op7_urls,
     "op8_packing": op8_packing,
 }
 ORACLES: dict[str, str] = {
     "op5_warc": OP5_SQL,
+    "op7_urls": OP7_SQL,
 }
