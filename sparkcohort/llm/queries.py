@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkcohort.llm.mixing import mix_sources
+from sparkcohort.llm.mtree import top_k
 from sparkcohort.llm.packing import pack_documents
 from sparkcohort.llm.reputation import judge_urls
 from sparkcohort.llm.rules import score_quality
@@ -85,14 +86,29 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(table(spark, sf_dir, "embeddings"))
+
+
+OP10_SQL = """
+WITH v AS (SELECT DISTINCT vec_id, [floor(64 * CAST(x AS DOUBLE)) FOR x IN embedding] AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0),
+r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM p)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
+"""
+
+
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_rules": op2_rules,
     "op5_warc": op5_warc,
     "op7_urls": op7_urls,
     "op8_packing": op8_packing,
+    "op10_topk": op10_topk,
 }
 ORACLES: dict[str, str] = {
     "op5_warc": OP5_SQL,
     "op7_urls": OP7_SQL,
+    "op10_topk": OP10_SQL,
 }
