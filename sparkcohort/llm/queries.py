@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparkcohort.llm.crf import score_documents
 from sparkcohort.llm.mixing import mix_sources
 from sparkcohort.llm.mtree import top_k
 from sparkcohort.llm.packing import pack_documents
@@ -27,6 +28,10 @@ def op2_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "posterior")
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = round_trip(table(spark, sf_dir, "pages"), least_bytes=0)
     return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -102,6 +107,7 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_rules": op2_rules,
+    "op4_quality": op4_quality,
     "op5_warc": op5_warc,
     "op7_urls": op7_urls,
     "op8_packing": op8_packing,
