@@ -9,6 +9,7 @@ from sparkcohort.llm.crf import score_documents
 from sparkcohort.llm.mixing import mix_sources
 from sparkcohort.llm.mtree import top_k
 from sparkcohort.llm.packing import pack_documents
+from sparkcohort.llm.pii import KINDS, find_pii, span_text
 from sparkcohort.llm.reputation import judge_urls
 from sparkcohort.llm.rules import score_quality
 from sparkcohort.llm.warc import round_trip
@@ -28,6 +29,12 @@ def op2_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "posterior")
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_pii(table(spark, sf_dir, "documents"))
+    counts = [F.size(k).cast("long").alias(f"n_{k}") for k in KINDS]
+    return found.select("doc_id", *counts, F.sha2(span_text(KINDS), 256).alias("base_sha256"), span_text((*KINDS, "secret")).alias("spans"))
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -107,6 +114,7 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_rules": op2_rules,
+    "op3_pii": op3_pii,
     "op4_quality": op4_quality,
     "op5_warc": op5_warc,
     "op7_urls": op7_urls,
