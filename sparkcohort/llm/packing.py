@@ -10,8 +10,10 @@ emptiest, and cuts what is left into sequences whose lengths are powers of two,
 from __future__ import annotations
 
 import os
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -52,11 +54,14 @@ class _Seen(dict):
 class WordEncoder:
     """Ids of texts, each distinct word encoded once while it stays in a bounded memo.
 
-    The tokenizer never joins across white space, so a text's ids are its words' ids in a row.
+    The tokenizer never joins across white space, so a text's ids are its words' ids in a row; and letters and a
+    mark after them are separate tokens, so a word that ends in one shares the ids of its letters.
     """
 
-    def __init__(self, path: str | None, most_words: int = 400_000) -> None:
-        self.tokenizer, self.most_words = load_tokenizer(path), most_words
+    def __init__(self, path: str | None, most_words: int = 1_600_000, most_stems: int = 1_200_000) -> None:
+        self.tokenizer, self.most_words, self.most_stems = load_tokenizer(path), most_words, most_stems
+        self.marks = {m: self._ids([m])[0] for m in ".,"}
+        self.stems: dict[str, bytes] = {}
         self._reset()
 
     def _reset(self) -> None:
@@ -64,33 +69,71 @@ class WordEncoder:
         self.flat, self.used = np.empty(1 << 16, np.uint32), 0
         self.first, self.count = np.empty(1 << 15, np.int64), np.empty(1 << 15, np.int64)
 
+    def _ids(self, texts: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    @staticmethod
+    def _parts(word: bytes) -> tuple[str, str]:
+        """Letters and the mark after them where a word has that form, else the word and nothing. ASCII goes to lower case, as in the tokenizer."""
+        text = word.decode()
+        if text[-1] in ".," and text[:-1].isalpha():
+            return (text[:-1].lower() if word.isascii() else text[:-1]), text[-1]
+        return (text.lower() if word.isascii() and text.isalpha() else text), ""
+
     def _learn(self) -> None:
         new, self.seen.new = self.seen.new, []
-        for at in range(0, len(new), 10_000):
-            ids = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode() for w in new[at : at + 10_000]], add_special_tokens=False)]
-            counts = np.fromiter(map(len, ids), np.int64, len(ids))
-            values = np.fromiter((x for y in ids for x in y), np.uint32, int(counts.sum()))
-            base = len(self.seen) - len(new) + at
-            while base + len(ids) > len(self.first):
-                self.first, self.count = np.concatenate([self.first, self.first]), np.concatenate([self.count, self.count])
-            while self.used + len(values) > len(self.flat):
-                self.flat = np.concatenate([self.flat, self.flat])
-            self.first[base : base + len(ids)] = self.used + np.cumsum(counts) - counts
-            self.count[base : base + len(ids)] = counts
-            self.flat[self.used : self.used + len(values)] = values
-            self.used += len(values)
-
-    def __call__(self, text: bytes) -> np.ndarray:
-        words = text.split()  # of bytes: at ASCII white space only
+        parts = list(map(self._parts, new))
+        if len(self.stems) > self.most_stems:
+            self.stems.clear()
+        missing = list({stem for stem, _ in parts if stem not in self.stems})
+        for at in range(0, len(missing), 10_000):
+            self.stems.update(zip(missing[at : at + 10_000], self._ids(missing[at : at + 10_000]), strict=True))
+        stems, marks = self.stems, self.marks
+        found = [stems[stem] + marks[mark] if mark else stems[stem] for stem, mark in parts]
+        counts = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        values = np.frombuffer(b"".join(found), np.uint32)
+        base = len(self.seen) - len(new)
+        while len(self.seen) > len(self.first):
+            self.first, self.count = np.concatenate([self.first, self.first]), np.concatenate([self.count, self.count])
+        while self.used + len(values) > len(self.flat):
+            self.flat = np.concatenate([self.flat, self.flat])
+        self.first[base : len(self.seen)] = self.used + np.cumsum(counts) - counts
+        self.count[base : len(self.seen)] = counts
+        self.flat[self.used : self.used + len(values)] = values
+        self.used += len(values)
+
+    def __call__(self, texts: list[bytes]) -> list[np.ndarray]:
+        """The ids of each text."""
+        # of bytes: at ASCII white space only; ASCII goes to lower case in the tokenizer too, but for special tokens' names
+        words = [(t.lower() if t.isascii() and b"<|" not in t else t).split() for t in texts]
         if len(self.seen) > self.most_words:
             self._reset()
-        index = np.fromiter(map(self.seen.__getitem__, words), np.int64, len(words))
+        ends = np.cumsum([len(w) for w in words])
+        index = np.fromiter(map(self.seen.__getitem__, chain.from_iterable(words)), np.int64, int(ends[-1]) if len(ends) else 0)
         if self.seen.new:
             self._learn()
         counts = self.count[index]
-        ends = np.cumsum(counts)
-        total = int(ends[-1]) if len(ends) else 0
-        return self.flat[np.repeat(self.first[index] - ends + counts, counts) + np.arange(total)]
+        upto = np.concatenate([[0], np.cumsum(counts)])
+        ids = self.flat[np.repeat(self.first[index] - upto[:-1], counts) + np.arange(upto[-1])]
+        return np.split(ids, upto[ends[:-1]])
+
+
+@lru_cache(maxsize=2)
+def word_encoder(path: str | None) -> WordEncoder:
+    """One encoder for all tasks of a worker: what one has learned serves the next."""
+    return WordEncoder(path)
+
+
+def portions(bodies: list[bytes], most: int = 1 << 21) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of about `most` bytes."""
+    start = held = 0
+    for at, body in enumerate(bodies):
+        held += len(body)
+        if held >= most:
+            yield start, at + 1
+            start, held = at + 1, 0
+    if start < len(bodies):
+        yield start, len(bodies)
 
 
 class Packer:
@@ -197,7 +240,7 @@ def pack_documents(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
     kind = docs.schema[doc_id].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, packer = WordEncoder(tokenizer), Packer(capacity, most_open)
+        encode, packer = word_encoder(tokenizer), Packer(capacity, most_open)
         sequence = TaskContext.get().partitionId() * STRIDE
 
         def flush() -> Iterator[pa.RecordBatch]:
@@ -216,10 +259,12 @@ def pack_documents(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
 
         end = np.array([end_id], np.uint32)
         for batch in batches:
-            for owner, body in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
-                packer.add(owner, np.concatenate([encode(body or b""), end]))
-                if len(packer.done) >= 256:
-                    yield from flush()
+            owners, bodies = batch.column(0).to_pylist(), [x or b"" for x in batch.column(1).cast(pa.binary()).to_pylist()]
+            for lo, hi in portions(bodies):
+                for owner, ids in zip(owners[lo:hi], encode(bodies[lo:hi]), strict=True):
+                    packer.add(owner, np.concatenate([ids, end]))
+                    if len(packer.done) >= 256:
+                        yield from flush()
         packer.close()
         yield from flush()
 
