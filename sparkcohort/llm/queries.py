@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sparkcohort.llm.crf import score_documents
 from sparkcohort.llm.mixing import mix_sources
 from sparkcohort.llm.mtree import top_k
+from sparkcohort.llm.ngram import ngram_groups
 from sparkcohort.llm.packing import pack_documents
 from sparkcohort.llm.pii import KINDS, find_pii, span_text
 from sparkcohort.llm.reputation import judge_urls
@@ -98,6 +99,22 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_groups(table(spark, sf_dir, "documents"), share=75)
+
+
+OP9_SQL = """
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 5 THEN [array_to_string(w[i:i + 4], ' ') FOR i IN range(1, len(w) - 3)] WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id),
+l AS (SELECT x, y FROM p JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * c >= 75 * (nx.n + ny.n - c)),
+r AS (SELECT doc_id AS root, doc_id AS node FROM documents UNION SELECT r.root, l.y FROM r JOIN l ON r.node = l.x)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id
+FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id JOIN (SELECT node, min(root) AS component_id FROM r GROUP BY node) c ON c.node = d.doc_id
+"""
+
+
 def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings"))
 
@@ -119,10 +136,12 @@ QUERIES = {
     "op5_warc": op5_warc,
     "op7_urls": op7_urls,
     "op8_packing": op8_packing,
+    "op9_ngram_join": op9_ngram_join,
     "op10_topk": op10_topk,
 }
 ORACLES: dict[str, str] = {
     "op5_warc": OP5_SQL,
     "op7_urls": OP7_SQL,
+    "op9_ngram_join": OP9_SQL,
     "op10_topk": OP10_SQL,
 }
