@@ -13,8 +13,9 @@
    original rather than an edited copy) is verified against the members of other components; links are joined into
    components; then each bucket that still spans components gets new leaders outside its largest component, eight
    times as many each round, until every pair of the bucket is verified or within one component.
-5. Before a pair's sets are intersected, it passes the size filter and must share prefix tokens under the order by
-   number and under a third order (by scrambled number). Verification is exact.
+5. A leader meets a member only if their sizes and parity bitmaps allow a link: tokens set bits modulo 2, so two
+   bitmaps differ in no more bits than the sets do in tokens. Before a pair's sets are intersected, it must share
+   prefix tokens under the order by number and under a third order (by scrambled number). Verification is exact.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkcohort.llm.components import components
@@ -32,6 +33,9 @@ from sparkcohort.llm.shared import cut, forget
 from sparkcohort.llm.shingles import shingle_sets
 
 SCRAMBLE = np.int64(-7046029254386353131)
+#: 64-bit words of the parity bitmaps.
+BITS = 8
+FACTS = ["n", *[f"bits{i}" for i in range(BITS)]]
 #: Rows whose ids are broadcast at most, at 16 bytes each; beyond that Spark joins by shuffle.
 MOST_BROADCAST = 2_000_000
 
@@ -58,15 +62,17 @@ def shingled(docs: DataFrame, width: int, sketch: int) -> DataFrame:
 
 
 def class_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """class_id, n, tokens of the wanted (row_key, class_id) rows: their texts are read again, which costs less than keeping all sets."""
+    """class_id, n, tokens, parity bitmap of the wanted (row_key, class_id) rows: their texts are read again, which costs less than keeping all sets."""
 
     def emit(batch: pa.RecordBatch, sets: list[np.ndarray]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), _longs(sets)], names=["class_id", "n", "tokens"])
+        parity = [np.packbits((np.bincount(s & (64 * BITS - 1), minlength=64 * BITS) & 1).astype(np.uint8)).view(np.int64) for s in sets]
+        bits = [pa.array([b[i] for b in parity], pa.int64()) for i in range(BITS)]
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), _longs(sets), *bits], names=["class_id", "n", "tokens", *FACTS[1:]])
 
     keys = wanted.select(F.col("row_key").alias("wanted_key"), "class_id")
     keys = F.broadcast(keys) if wanted.count() <= MOST_BROADCAST else keys
     rows = docs.join(keys, F.col("row_key") == F.col("wanted_key"))
-    return rows.select("class_id", "text").mapInArrow(lambda b: _sets(b, width, emit), "class_id long, n long, tokens array<long>")
+    return rows.select("class_id", "text").mapInArrow(lambda b: _sets(b, width, emit), "class_id long, n long, tokens array<long>, " + ", ".join(f"{c} long" for c in FACTS[1:]))
 
 
 def linked(a: np.ndarray, b: np.ndarray, share: int) -> bool:
@@ -101,8 +107,16 @@ def verify(pairs: DataFrame, sets: DataFrame, share: int) -> DataFrame:
     return joined.select("a", "b", "a_tokens", "b_tokens").mapInArrow(run, "a long, b long, is_link boolean")
 
 
+def may_link(share: int, other: str = "lead_") -> Column:
+    """Whether sizes and parity bitmaps of a member and a leader allow a link."""
+    both = F.col("n") + F.col(f"{other}n")
+    differ = both - 2 * F.ceil(both * share / (100 + share))  # tokens in one set only, at most
+    apart = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"{other}{c}"))) for c in FACTS[1:]), F.lit(0))
+    return (F.abs(F.col("n") - F.col(f"{other}n")) <= differ) & (apart <= differ)
+
+
 def bucket_links(members: DataFrame, sets: DataFrame, share: int, spread: int = 8) -> DataFrame:
-    """node, label of the classes that links join. members: bucket, class_id, rank (lower leads)."""
+    """node, label of the classes that links join. members: bucket, class_id, rank (lower leads), FACTS."""
     spark = members.sparkSession
     labels = None
     lead, members = 1, cut(members, "ngram-members")
@@ -115,17 +129,18 @@ def bucket_links(members: DataFrame, sets: DataFrame, share: int, spread: int =
         else:
             spans = now.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("m")).groupBy("bucket").agg(F.count(F.lit(1)).alias("kinds"), F.max_by("label", F.struct("m", "label")).alias("largest"))
         spans = spans.filter("kinds > 1").select(F.col("bucket").alias("span"), "largest")
-        active = cut(now.join(spans, F.col("bucket") == F.col("span")).select("bucket", "class_id", "rank", "label", "largest"), "ngram-active")
+        active = cut(now.join(spans, F.col("bucket") == F.col("span")).select("bucket", "class_id", "rank", *FACTS, "label", "largest"), "ngram-active")
         if active.isEmpty():
             break
         may_lead = active.filter("largest is null or label <> largest")
         if lead == 1:
-            leaders = may_lead.groupBy("bucket").agg(F.min(F.struct("rank", "class_id", "label")).alias("x")).select(F.col("bucket").alias("of"), F.col("x.class_id").alias("leader"), F.col("x.label").alias("lead_label"))
+            leaders = may_lead.groupBy("bucket").agg(F.min(F.struct("rank", "class_id", "label", *FACTS)).alias("x")).select("bucket", "x.*")
         else:
             order = Window.partitionBy("bucket").orderBy("rank", "class_id")
-            leaders = may_lead.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= lead).select(F.col("bucket").alias("of"), F.col("class_id").alias("leader"), F.col("label").alias("lead_label"))
-        leaders = cut(leaders, "ngram-leaders")
-        pairs = active.join(leaders, F.col("bucket") == F.col("of")).filter("label <> lead_label").select(F.least("class_id", "leader").alias("a"), F.greatest("class_id", "leader").alias("b")).distinct()
+            leaders = may_lead.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= lead)
+        leaders = cut(leaders.select(F.col("bucket").alias("of"), F.col("class_id").alias("leader"), F.col("label").alias("lead_label"), *[F.col(c).alias(f"lead_{c}") for c in FACTS]), "ngram-leaders")
+        meet = (F.col("bucket") == F.col("of")) & (F.col("label") != F.col("lead_label")) & may_link(share)
+        pairs = active.join(leaders, meet).select(F.least("class_id", "leader").alias("a"), F.greatest("class_id", "leader").alias("b")).distinct()
         for old in verified:
             pairs = pairs.join(old.select(F.col("a").alias("va"), F.col("b").alias("vb")), (F.col("a") == F.col("va")) & (F.col("b") == F.col("vb")), "left_anti")
         done = cut(verify(pairs, sets, share), "ngram-verified")
@@ -136,7 +151,7 @@ def bucket_links(members: DataFrame, sets: DataFrame, share: int, spread: int =
             every = every.unionByName(more)
         labels = components(every)
         used = leaders.select("of", "leader")
-        rest = cut(active.join(used, (F.col("bucket") == F.col("of")) & (F.col("class_id") == F.col("leader")), "left_anti").select("bucket", "class_id", "rank"), "ngram-members")
+        rest = cut(active.join(used, (F.col("bucket") == F.col("of")) & (F.col("class_id") == F.col("leader")), "left_anti").select("bucket", "class_id", "rank", *FACTS), "ngram-members")
         forget(members, active, leaders)
         members, lead = rest, lead * spread
     forget(members, active)
@@ -166,15 +181,16 @@ def ngram_groups(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     sets = cut(class_sets(base, may, width), "ngram-sets")
     if sets.count() > may.count():  # rows alike in id and text
         sets = cut(sets.dropDuplicates(["class_id"]), "ngram-sets")
-    ranks = may.select(F.col("class_id").alias("rank_of"), "rank", "is_hot")
-    cold = common.filter(F.col("df") <= hot).join(ranks, F.col("class_id") == F.col("rank_of")).select(F.col("token").alias("bucket"), "class_id", "rank")
-    all_tokens = sets.join(ranks.filter("is_hot"), F.col("class_id") == F.col("rank_of")).select("class_id", "n", "rank", F.explode("tokens").alias("token"))
+    facts = cut(sets.select(F.col("class_id").alias("fact_of"), *FACTS), "ngram-facts")
+    ranks = cut(may.join(facts, F.col("class_id") == F.col("fact_of")).select(F.col("class_id").alias("rank_of"), "rank", "is_hot", *FACTS), "ngram-ranks")
+    cold = common.filter(F.col("df") <= hot).select(F.col("token").alias("bucket"), "class_id").join(ranks, F.col("class_id") == F.col("rank_of")).select("bucket", "class_id", "rank", *FACTS)
+    all_tokens = sets.select("class_id", "n", "tokens").join(ranks.filter("is_hot").select("rank_of"), F.col("class_id") == F.col("rank_of")).select("class_id", "n", F.explode("tokens").alias("token"))
     df2 = all_tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter("df > 1").withColumnRenamed("token", "t")
     repeated = all_tokens.join(df2, F.col("token") == F.col("t"))
     own = Window.partitionBy("class_id")
     place = F.row_number().over(own.orderBy("df", "token")) + F.col("n") - F.count(F.lit(1)).over(own)  # tokens of one class only come first
     prefixed = repeated.withColumn("place", place).filter(F.col("place") <= F.col("n") - F.ceil(F.col("n") * share / 100) + 1)
-    warm = prefixed.select(F.xxhash64("token", F.lit("rarest first")).alias("bucket"), "class_id", "rank")
+    warm = prefixed.select(F.xxhash64("token", F.lit("rarest first")).alias("bucket"), "class_id").join(ranks, F.col("class_id") == F.col("rank_of")).select("bucket", "class_id", "rank", *FACTS)
     labels = cut(bucket_links(cold.unionByName(warm), sets, share), "ngram-labels")
     named = shown.join(labels, F.col("class_id") == F.col("node"), "left").withColumn("group", F.when(F.col("n") > 0, F.coalesce("label", "class_id")))
     smallest = named.filter("n > 0").groupBy(F.col("group").alias("of_group")).agg(F.min("doc_id").alias("smallest"))
