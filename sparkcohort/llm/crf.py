@@ -9,12 +9,13 @@ pass of each task over whole texts.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 SYMBOLS = b"#*$%&|<>"
 FEATURES = 15
@@ -123,8 +124,8 @@ def fit(docs: list[np.ndarray], labels: list[int], rounds: int = 120, rate: floa
     return w[:-2], (float(w[-2]), float(w[-1]))
 
 
-def score_documents(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", quality: str = "quality", label_id: str = "doc_id", held_out: int | None = 1, train_docs: int = 1200, train_lines: int = 64) -> DataFrame:
-    """Quality of every document: doc_id, held_out, score, predicted.
+def score_documents(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", quality: str = "quality", label_id: str = "doc_id", held_out: int | None = 1, train_docs: int = 1200, train_lines: int = 64, carry: Sequence[str] = ()) -> DataFrame:
+    """Quality of every document: the columns named in `carry`, doc_id, held_out, score, predicted.
 
     Labels are learned only from rows whose crc32(doc_id as text) mod 3 is not `held_out` (None: from all). The
     sample: per class the train_docs documents of the smallest hashes, train_lines lines of each; both bounds are
@@ -172,8 +173,11 @@ def score_documents(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id
                 weight = [max(1, n) for n in lengths]
                 good = chances(u.tolist(), model[1])
                 scores.append(sum(map(float.__mul__, good, map(float, weight))) / sum(weight))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], names=["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], pa.array(scores, pa.float64())], names=["doc_id", *more, "score"])
 
     held = fold(F.col("doc_id")) == held_out if held_out is not None else F.lit(False)
-    scored = base.mapInArrow(run, "doc_id long, score double")
-    return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    more = [f"_carried{i}" for i in range(len(carry))]
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), *[F.col(c).alias(m) for c, m in zip(carry, more, strict=True)])
+    kind = StructType([f for f in rows.schema if f.name != "text"]).add("score", "double")
+    scored = rows.mapInArrow(run, kind)
+    return scored.select(*[F.col(m).alias(c) for c, m in zip(carry, more, strict=True) if c != doc_id], "doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

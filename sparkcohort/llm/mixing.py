@@ -21,6 +21,8 @@ from sparkcohort.llm.shared import WORD, cut
 
 #: Below this a fraction counts as none.
 TINY = 1e-12
+#: Units (of about 100 bytes) that are broadcast at most; beyond that Spark joins by shuffle.
+MOST_BROADCAST = 500_000
 
 
 def word_count(text: Column) -> Column:
@@ -64,16 +66,8 @@ def _settle(acc: Column, x: Column) -> Column:
     return F.struct(carried.alias("c"), out.alias("out"))
 
 
-def mix_sources(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: Sequence[float] = (3, 1, 2), share: float = 1.5, most: float = 2.0, block: int = 64, seed: int = 17) -> DataFrame:
-    """Copies of each document so that the sources' words come near their targets.
-
-    Returns one row per input row: doc_id, size, source, source_size, target, copies, taken. A null text has
-    size 0 and is never copied; a null source is a source of its own, ranked last; an empty table gives no rows.
-    Rows alike in doc_id, source and size are one unit with a count: they share whole copies and only the rest
-    is rounded, so any number of repeated rows (or null ids) stays one row until the end. Other columns are not
-    read. Draws come from hashes of doc_id, source and size, so reruns agree.
-    """
-    spark = docs.sparkSession
+def settled_units(docs: DataFrame, doc_id: str, text: str, source: str, weights: Sequence[float], share: float, most: float, block: int, seed: int) -> DataFrame:
+    """One row for all rows alike in doc_id, source and size: their number k, the whole copies of each, how many have one more (extra), and whether the next has (f = 1)."""
     base = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"))
     units = cut(base.groupBy("doc_id", "source", "size").agg(F.count(F.lit(1)).alias("k")), "mix-units")
     sizes = units.groupBy("source").agg(F.sum(F.col("size") * F.col("k")).alias("source_size"), F.count(F.lit(1)).alias("n_units"))
@@ -113,6 +107,39 @@ def mix_sources(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     all_rows = settled[0]
     for more in settled[1:]:
         all_rows = all_rows.unionByName(more)
-    copies = F.col("whole") + F.when(F.col("size") > 0, (F.col("i") <= F.col("extra")).cast("long") + ((F.col("i") == F.col("extra") + 1) & (F.col("f") == 1)).cast("long")).otherwise(0)
-    out = all_rows.withColumn("i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("k")))).withColumn("copies", copies.cast("long"))
+    return all_rows
+
+
+def copies_of(i: Column, unit: str = "") -> Column:
+    """Copies of the i-th (from 1) of a unit's rows. unit: what stands before the unit's column names."""
+    size, whole, extra, f = (F.col(unit + c) for c in ("size", "whole", "extra", "f"))
+    more = (i <= extra).cast("long") + ((i == extra + 1) & (f == 1)).cast("long")
+    return (whole + F.when(size > 0, more).otherwise(0)).cast("long")
+
+
+def mix_sources(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: Sequence[float] = (3, 1, 2), share: float = 1.5, most: float = 2.0, block: int = 64, seed: int = 17) -> DataFrame:
+    """Copies of each document so that the sources' words come near their targets.
+
+    Returns one row per input row: doc_id, size, source, source_size, target, copies, taken. A null text has
+    size 0 and is never copied; a null source is a source of its own, ranked last; an empty table gives no rows.
+    Rows alike in doc_id, source and size are one unit with a count: they share whole copies and only the rest
+    is rounded, so any number of repeated rows (or null ids) stays one row until the end. Other columns are not
+    read. Draws come from hashes of doc_id, source and size, so reruns agree.
+    """
+    units = settled_units(docs, doc_id, text, source, weights, share, most, block, seed)
+    out = units.withColumn("i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("k")))).withColumn("copies", copies_of(F.col("i")))
     return out.select("doc_id", "size", "source", "source_size", F.col("target").cast("double").alias("target"), "copies", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+def mixed_documents(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: Sequence[float] = (3, 1, 2), share: float = 1.5, most: float = 2.0, block: int = 64, seed: int = 17) -> DataFrame:
+    """The mix itself: each row of docs as often as mix_sources() takes it, with the columns of docs."""
+    units = cut(settled_units(docs, doc_id, text, source, weights, share, most, block, seed), "mix-settled")
+    sized = docs.withColumn("_size", word_count(F.col(text)))
+    same = [F.col(doc_id).eqNullSafe(F.col("_u.doc_id")), F.col(source).eqNullSafe(F.col("_u.source")), F.col("_size") == F.col("_u.size")]
+    stats = units.agg(F.count(F.lit(1)), F.max("k")).first()
+    packed = units.select(F.struct("doc_id", "source", "size", "whole", "extra", "f").alias("_u"))
+    joined = sized.join(F.broadcast(packed) if stats[0] <= MOST_BROADCAST else packed, same)
+    order = Window.partitionBy(doc_id, source, "_size").orderBy(F.xxhash64(text))
+    joined = joined.withColumn("_i", F.row_number().over(order) if (stats[1] or 0) > 1 else F.lit(1))
+    copies = copies_of(F.col("_i"), "_u.").cast("int")
+    return joined.filter(copies > 0).withColumn("_copy", F.explode(F.sequence(F.lit(1), copies))).select(*docs.columns)

@@ -159,7 +159,7 @@ def bucket_links(members: DataFrame, sets: DataFrame, share: int, spread: int =
 
 
 def ngram_groups(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", width: int = 5, share: int = 75, sketch: int = 48, least_shared: int = 12, hot: int = 16) -> DataFrame:
-    """doc_id, n_shingles, component_id of every document.
+    """doc_id, n_shingles, component_id of every document, its row_key (hash of id and text) and whether it stands for its group (keep).
 
     A-Z goes to lower case; words are runs between ASCII white space; a text of fewer words than `width` has its whole
     word sequence as its one shingle. Documents link where 100 * intersection >= share * union. A null or empty text, or
@@ -193,6 +193,23 @@ def ngram_groups(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     warm = prefixed.select(F.xxhash64("token", F.lit("rarest first")).alias("bucket"), "class_id").join(ranks, F.col("class_id") == F.col("rank_of")).select("bucket", "class_id", "rank", *FACTS)
     labels = cut(bucket_links(cold.unionByName(warm), sets, share), "ngram-labels")
     named = shown.join(labels, F.col("class_id") == F.col("node"), "left").withColumn("group", F.when(F.col("n") > 0, F.coalesce("label", "class_id")))
-    smallest = named.filter("n > 0").groupBy(F.col("group").alias("of_group")).agg(F.min("doc_id").alias("smallest"))
+    smallest = named.filter("n > 0").groupBy(F.col("group").alias("of_group")).agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row_key")).alias("smallest"))
     out = named.join(smallest, F.col("group") == F.col("of_group"), "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("smallest")).otherwise(F.col("doc_id")).alias("component_id"))
+    has = F.col("n") > 0
+    keep = F.when(has, F.col("row_key") == F.col("smallest.row_key")).otherwise(True)
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(has, F.col("smallest.doc_id")).otherwise(F.col("doc_id")).alias("component_id"), "row_key", keep.alias("keep"))
+
+
+def one_of_each(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **how) -> DataFrame:
+    """docs with one document of each group of ngram_groups(): that of the smallest doc_id (null last, then by hash).
+
+    Texts without words all stay; of rows alike in id and text one stays.
+    """
+    groups = cut(ngram_groups(docs, doc_id=doc_id, text=text, **how), "ngram-groups")
+    keyed = docs.withColumn("row_key", F.xxhash64(F.col(doc_id).cast("long"), text))
+    goes = groups.filter(~F.col("keep")).select("row_key").distinct()
+    goes = F.broadcast(goes) if goes.count() <= MOST_BROADCAST else goes
+    left = keyed.join(goes, "row_key", "left_anti")
+    if not groups.filter("keep").groupBy("row_key").count().filter("count > 1").isEmpty():
+        left = left.dropDuplicates(["row_key"])
+    return left.select(*docs.columns)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkcohort.llm.crf import score_documents
+from sparkcohort.llm.linededup import dedup_lines
 from sparkcohort.llm.mixing import mix_sources
 from sparkcohort.llm.mtree import top_k
 from sparkcohort.llm.ngram import ngram_groups
@@ -37,7 +38,7 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
 
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,6 +58,11 @@ FROM d
 """
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = dedup_lines(table(spark, sf_dir, "documents"))
+    return left.select("doc_id", "n_lines", "n_removed", "words_left", "text")
+
+
 def op7_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = judge_urls(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
     return judged.select("page_id", "host", "path", "rule", "verdict")
@@ -134,6 +140,7 @@ QUERIES = {
     "op3_pii": op3_pii,
     "op4_quality": op4_quality,
     "op5_warc": op5_warc,
+    "op6_line_dedup": op6_line_dedup,
     "op7_urls": op7_urls,
     "op8_packing": op8_packing,
     "op9_ngram_join": op9_ngram_join,
