@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
 def _gamma_upper(a: float, x: float) -> float:
@@ -37,12 +38,12 @@ def _gamma_upper(a: float, x: float) -> float:
     return front * h
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def chi2_tail(x: pd.Series, dof: pd.Series) -> pd.Series:
     return pd.Series([None if pd.isna(v) else _gamma_upper(k / 2, v / 2) for v, k in zip(x, dof, strict=True)])
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def normal_two_sided(z: pd.Series) -> pd.Series:
     return pd.Series([None if pd.isna(v) else math.erfc(abs(v) / math.sqrt(2)) for v in z])
 
@@ -56,7 +57,7 @@ def _fisher(a: int, b: int, c: int, d: int) -> float:
     return min(1.0, sum(math.exp(x) for x in logs if x <= seen + 1e-7))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def fisher_two_sided(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
     return pd.Series([_fisher(*map(int, x)) for x in zip(a, b, c, d, strict=True)])
 
