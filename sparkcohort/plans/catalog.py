@@ -164,9 +164,9 @@ def upsert_overwrite(t: Tables) -> DataFrame:
     return relational.upsert(*supplier_parts(t), "s_suppkey", overwrite=True)
 
 
-@query("SELECT p_partkey, p_size AS old, p_size + 1 AS new FROM part WHERE p_retailprice >= 1500")
+@query("SELECT p_partkey, p_size AS old, p_size + 1 AS new FROM part WHERE p_retailprice >= 950")
 def conflict_check(t: Tables) -> DataFrame:
-    new = t.part.select("p_partkey", (F.col("p_size") + F.when(F.col("p_retailprice") >= 1500, 1).otherwise(0)).alias("p_size"))
+    new = t.part.select("p_partkey", (F.col("p_size") + F.when(F.col("p_retailprice") >= 950, 1).otherwise(0)).alias("p_size"))
     return relational.conflicts(t.part, new, ["p_partkey"], "p_size")
 
 
