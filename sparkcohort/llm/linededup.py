@@ -157,16 +157,16 @@ def dedup_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     lines without a word match nothing and stay; an empty table gives no rows. Columns of docs called n_lines,
     n_removed or words_left are replaced.
     """
-    keyed = docs.withColumn("row_key", F.xxhash64(doc_id, text))
-    source = keyed.select("row_key", F.struct(F.col(doc_id).isNull().alias("last"), F.col(doc_id).cast("long").alias("id")).alias("place"), F.col(text).alias("text")).filter(F.col("text") != "")
-    gone = line_deletions(source, least_words).select(F.col("row_key").alias("gone_key"), "flags")
-    size = gone.agg(F.sum(24 + F.size("flags"))).first()[0] or 0
+    keyed = docs.withColumn("_dedup_key", F.xxhash64(doc_id, text))
+    source = keyed.select(F.col("_dedup_key").alias("row_key"), F.struct(F.col(doc_id).isNull().alias("last"), F.col(doc_id).cast("long").alias("id")).alias("place"), F.col(text).alias("text")).filter(F.col("text") != "")
+    gone = line_deletions(source, least_words).select(F.col("row_key").alias("_gone_key"), F.col("flags").alias("_gone_flags"))
+    size = gone.agg(F.sum(24 + F.size("_gone_flags"))).first()[0] or 0
     gone = F.broadcast(gone) if size <= MOST_BROADCAST else gone.hint("shuffle_hash")
-    joined = keyed.join(gone, F.col("row_key") == F.col("gone_key"), "left")
-    kept = F.filter(F.split(text, "\n", -1), lambda x, i: ~F.coalesce(F.get("flags", i), F.lit(False)))
-    new = F.when(F.col("flags").isNull(), F.col(text)).otherwise(F.array_join(kept, "\n"))
-    n_removed = F.coalesce(F.size(F.filter("flags", lambda f: f)), F.lit(0))
-    n_removed = F.when(F.col("flags").isNull(), 0).otherwise(n_removed).cast("long")
+    joined = keyed.join(gone, F.col("_dedup_key") == F.col("_gone_key"), "left")
+    kept = F.filter(F.split(text, "\n", -1), lambda x, i: ~F.coalesce(F.get("_gone_flags", i), F.lit(False)))
+    new = F.when(F.col("_gone_flags").isNull(), F.col(text)).otherwise(F.array_join(kept, "\n"))
+    n_removed = F.coalesce(F.size(F.filter("_gone_flags", lambda f: f)), F.lit(0))
+    n_removed = F.when(F.col("_gone_flags").isNull(), 0).otherwise(n_removed).cast("long")
     own = [c for c in docs.columns if c not in ("n_lines", "n_removed", "words_left")]
     out = joined.select(*[F.col(c) if c != text else new.alias(text) for c in own], F.size(F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1)).cast("long").alias("n_lines"), n_removed.alias("n_removed"))
     return out.withColumn("words_left", F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long"))

@@ -41,9 +41,11 @@ MOST_BROADCAST = 2_000_000
 
 
 def _sets(batches: Iterator[pa.RecordBatch], width: int, emit) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        bodies = [x or b"" for x in batch.column(batch.num_columns - 1).cast(pa.binary()).to_pylist()]
-        yield emit(batch, list(shingle_sets(bodies, width)))
+    for whole in batches:
+        for at in range(0, whole.num_rows, 512):  # sets are larger than texts
+            batch = whole.slice(at, 512)
+            bodies = [x or b"" for x in batch.column(batch.num_columns - 1).cast(pa.binary()).to_pylist()]
+            yield emit(batch, list(shingle_sets(bodies, width)))
 
 
 def _longs(sets: list[np.ndarray]) -> pa.Array:
@@ -102,8 +104,13 @@ def verify(pairs: DataFrame, sets: DataFrame, share: int) -> DataFrame:
                 found = [linked(x, y, share) for x, y in zip(*sides, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.bool_())], names=["a", "b", "is_link"])
 
-    left, right = (sets.select(F.col("class_id").alias(f"{s}_id"), F.col("tokens").alias(f"{s}_tokens")) for s in "ab")
-    joined = pairs.join(left, F.col("a") == F.col("a_id")).join(right, F.col("b") == F.col("b_id"))
+    pairs = cut(pairs, "ngram-pairs")
+    if pairs.count() <= MOST_BROADCAST:  # only the sets that pairs name are shuffled
+        left, right = (sets.join(F.broadcast(pairs), F.col("class_id") == F.col(s)).select("a", "b", F.col("tokens").alias(f"{s}_tokens")) for s in "ab")
+        joined = left.join(right, ["a", "b"])
+    else:
+        left, right = (sets.select(F.col("class_id").alias(f"{s}_id"), F.col("tokens").alias(f"{s}_tokens")) for s in "ab")
+        joined = pairs.join(left, F.col("a") == F.col("a_id")).join(right, F.col("b") == F.col("b_id"))
     return joined.select("a", "b", "a_tokens", "b_tokens").mapInArrow(run, "a long, b long, is_link boolean")
 
 
@@ -170,13 +177,14 @@ def ngram_groups(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     """
     base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).select("doc_id", F.xxhash64("doc_id", "text").alias("row_key"), "text")
     shown = cut(shingled(base, width, sketch), "ngram-sketch")
-    classes = shown.filter("n > 0").groupBy("class_id").agg(F.min("row_key").alias("row_key"), F.min("n").alias("n"), F.first("sketch").alias("sketch"))
-    tokens = cut(classes.select("class_id", "n", "row_key", F.explode("sketch").alias("token")), "ngram-tokens")
+    of_class = shown.filter("n > 0").groupBy("class_id").agg(F.min("row_key").alias("row_key"), F.min("n").alias("n"), F.first("sketch").alias("sketch"))
+    tokens = cut(of_class.select("class_id", F.explode("sketch").alias("token")), "ngram-tokens")
+    classes = shown.filter("n > 0").groupBy(F.col("class_id").alias("of_class")).agg(F.min("row_key").alias("row_key"), F.min("n").alias("n"))
     counts = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
     common = tokens.join(counts.withColumnRenamed("token", "t"), F.col("token") == F.col("t"))
-    common = cut(common.select("class_id", "n", "row_key", "token", "df"), "ngram-common")
+    common = cut(common.select("class_id", "token", "df"), "ngram-common")
     needed = F.when(F.col("n") > sketch, least_shared).otherwise(F.ceil(F.col("n") * share / 100))
-    per = common.groupBy("class_id").agg(F.min("n").alias("n"), F.min("row_key").alias("row_key"), F.count(F.lit(1)).alias("shared"), F.count_if(F.col("df") > hot).alias("heated"))
+    per = common.groupBy("class_id").agg(F.count(F.lit(1)).alias("shared"), F.count_if(F.col("df") > hot).alias("heated")).join(classes, F.col("class_id") == F.col("of_class"))
     may = cut(per.filter(F.col("shared") >= needed).select("class_id", "row_key", (F.col("heated") >= needed).alias("is_hot"), (1 - F.col("shared") / F.least("n", F.lit(sketch))).alias("rank")), "ngram-may")
     sets = cut(class_sets(base, may, width), "ngram-sets")
     if sets.count() > may.count():  # rows alike in id and text
@@ -206,10 +214,10 @@ def one_of_each(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     Texts without words all stay; of rows alike in id and text one stays.
     """
     groups = cut(ngram_groups(docs, doc_id=doc_id, text=text, **how), "ngram-groups")
-    keyed = docs.withColumn("row_key", F.xxhash64(F.col(doc_id).cast("long"), text))
-    goes = groups.filter(~F.col("keep")).select("row_key").distinct()
+    keyed = docs.withColumn("_row_key", F.xxhash64(F.col(doc_id).cast("long"), text))
+    goes = groups.filter(~F.col("keep")).select(F.col("row_key").alias("_goes")).distinct()
     goes = F.broadcast(goes) if goes.count() <= MOST_BROADCAST else goes
-    left = keyed.join(goes, "row_key", "left_anti")
+    left = keyed.join(goes, F.col("_row_key") == F.col("_goes"), "left_anti")
     if not groups.filter("keep").groupBy("row_key").count().filter("count > 1").isEmpty():
-        left = left.dropDuplicates(["row_key"])
+        left = left.dropDuplicates(["_row_key"])
     return left.select(*docs.columns)

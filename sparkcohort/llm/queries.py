@@ -106,7 +106,7 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_groups(table(spark, sf_dir, "documents"), share=75)
+    return ngram_groups(table(spark, sf_dir, "documents"), share=75).select("doc_id", "n_shingles", "component_id")
 
 
 OP9_SQL = """
