@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -128,7 +129,6 @@ def bucket_links(members: DataFrame, sets: DataFrame, share: int, spread: int =
     labels = None
     lead, members = 1, cut(members, "ngram-members")
     verified: list[DataFrame] = []
-    links: list[DataFrame] = []
     while True:
         now = members.withColumn("label", F.col("class_id")) if labels is None else members.join(labels, F.col("class_id") == F.col("node"), "left").withColumn("label", F.coalesce("label", "class_id")).drop("node")
         if labels is None:
@@ -148,15 +148,11 @@ def bucket_links(members: DataFrame, sets: DataFrame, share: int, spread: int =
         leaders = cut(leaders.select(F.col("bucket").alias("of"), F.col("class_id").alias("leader"), F.col("label").alias("lead_label"), *[F.col(c).alias(f"lead_{c}") for c in FACTS]), "ngram-leaders")
         meet = (F.col("bucket") == F.col("of")) & (F.col("label") != F.col("lead_label")) & may_link(share)
         pairs = active.join(leaders, meet).select(F.least("class_id", "leader").alias("a"), F.greatest("class_id", "leader").alias("b")).distinct()
-        for old in verified:
-            pairs = pairs.join(old.select(F.col("a").alias("va"), F.col("b").alias("vb")), (F.col("a") == F.col("va")) & (F.col("b") == F.col("vb")), "left_anti")
-        done = cut(verify(pairs, sets, share), "ngram-verified")
-        verified.append(done)
-        links.append(done.filter("is_link"))
-        every = links[0]
-        for more in links[1:]:
-            every = every.unionByName(more)
-        labels = components(every)
+        if verified:
+            old = reduce(DataFrame.unionByName, verified).select(F.col("a").alias("va"), F.col("b").alias("vb"))
+            pairs = pairs.join(old, (F.col("a") == F.col("va")) & (F.col("b") == F.col("vb")), "left_anti")
+        verified.append(cut(verify(pairs, sets, share), "ngram-verified"))
+        labels = cut(components(reduce(DataFrame.unionByName, verified).filter("is_link")), "ngram-labels")
         used = leaders.select("of", "leader")
         rest = cut(active.join(used, (F.col("bucket") == F.col("of")) & (F.col("class_id") == F.col("leader")), "left_anti").select("bucket", "class_id", "rank", *FACTS), "ngram-members")
         forget(members, active, leaders)
@@ -199,7 +195,7 @@ def ngram_groups(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     place = F.row_number().over(own.orderBy("df", "token")) + F.col("n") - F.count(F.lit(1)).over(own)  # tokens of one class only come first
     prefixed = repeated.withColumn("place", place).filter(F.col("place") <= F.col("n") - F.ceil(F.col("n") * share / 100) + 1)
     warm = prefixed.select(F.xxhash64("token", F.lit("rarest first")).alias("bucket"), "class_id").join(ranks, F.col("class_id") == F.col("rank_of")).select("bucket", "class_id", "rank", *FACTS)
-    labels = cut(bucket_links(cold.unionByName(warm), sets, share), "ngram-labels")
+    labels = bucket_links(cold.unionByName(warm), sets, share)
     named = shown.join(labels, F.col("class_id") == F.col("node"), "left").withColumn("group", F.when(F.col("n") > 0, F.coalesce("label", "class_id")))
     smallest = named.filter("n > 0").groupBy(F.col("group").alias("of_group")).agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row_key")).alias("smallest"))
     out = named.join(smallest, F.col("group") == F.col("of_group"), "left")

@@ -79,8 +79,9 @@ def test_edges_and_one_of_each(spark, edges):
 
 def test_components_of_a_chain_and_a_star(spark):
     pairs = [(i, i + 1) for i in range(200)] + [(1000, 1000 + i) for i in range(1, 300)] + [(5000, 5000)]
-    got = {r.node: r.label for r in components(spark.createDataFrame(pairs, "a long, b long")).collect()}
-    assert got == {i: 0 for i in range(201)} | {1000 + i: 1000 for i in range(300)}
+    for how in ({}, {"one_task": 0}):
+        got = {r.node: r.label for r in components(spark.createDataFrame(pairs, "a long, b long"), **how).collect()}
+        assert got == {i: 0 for i in range(201)} | {1000 + i: 1000 for i in range(300)}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
