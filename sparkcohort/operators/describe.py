@@ -108,3 +108,18 @@ def previous_value(df: DataFrame, group: Sequence[str], order: str, value: str)
     """The value of the next lower entry of the same group, and the change."""
     before = F.lag(value).over(Window.partitionBy(*group).orderBy(order))
     return df.withColumns({"previous": before, "change": F.col(value) - before})
+
+
+def ordered_values(df: DataFrame, value: str, preferred: Sequence[str]) -> DataFrame:
+    """value, place: distinct values, the preferred ones first in their order, then the others sorted."""
+    d = df.select(F.col(value).alias("value")).distinct()
+    known = F.array_position(F.array(*[F.lit(p) for p in preferred]), F.col("value")) if preferred else F.lit(0)
+    first = F.when(known > 0, known).otherwise(len(preferred) + 1)
+    return d.withColumn("place", F.row_number().over(Window.orderBy(first, "value")))
+
+
+def representative_values(df: DataFrame, value: str) -> DataFrame:
+    """One row: the smallest, the upper middle and the largest of the distinct values."""
+    v = df.agg(F.array_sort(F.collect_set(value)).alias("v"))  # a parameter's values: a few
+    n = F.size("v")
+    return v.select(F.array_distinct(F.array(F.get("v", F.lit(0)), F.get("v", F.floor(n / 2).cast("int")), F.get("v", n - 1))).alias("values"))

@@ -112,3 +112,15 @@ def classical_mds(pairs: pd.DataFrame, k: int) -> pd.DataFrame:
     top = np.argsort(values)[::-1][:k]
     x = vectors[:, top] * np.sqrt(np.clip(values[top], 0, None))
     return pd.DataFrame(x, columns=[f"dim{n}" for n in range(k)]).assign(id=ids)
+
+
+def map_reproducibility(a: DataFrame, b: DataFrame, feature: str, maps: str = "t") -> DataFrame:
+    """component, correlation over features of two tables of maps (feature, array)."""
+    x = a.select(feature, F.posexplode(maps).alias("component", "x"))
+    y = b.select(feature, F.posexplode(maps).alias("component", "y"))
+    return x.join(y, [feature, "component"]).groupBy("component").agg(F.corr("x", "y").alias("correlation"))
+
+
+def rotated_shares(pca: Pca, k: int, rotation: np.ndarray) -> np.ndarray:
+    """Share of all variance on each rotated component: the column sums of squared rotated loadings."""
+    return ((pca.loadings(k) @ rotation) ** 2).sum(0) / pca.values.sum()

@@ -97,3 +97,11 @@ def split_sample(ids: DataFrame, key: str, n: int, keep: Sequence[str] = ()) ->
     first = ids.select(key).distinct().orderBy(key).limit(n)
     chosen = first.union(ids.select(key).filter(F.col(key).isin(*keep))).distinct()
     return chosen, ids.select(key).distinct().join(chosen, key, "left_anti")
+
+
+def lookup(rows: DataFrame, table: DataFrame, key: str, column: str, *, numeric: bool = False, unknown: str = "unknown") -> DataFrame:
+    """rows with column from table: a missing row and an empty cell are alike, null for numbers and `unknown` for words."""
+    found = unique_key(table, [key], column).select(F.col(key).alias("_k"), F.col(column).cast("string").alias("_v"))
+    blank = F.col("_v").isNull() | (F.trim("_v") == "")
+    value = F.when(~blank, F.col("_v").try_cast("double")) if numeric else F.when(blank, unknown).otherwise(F.col("_v"))
+    return rows.drop(column).join(found, F.col(key) == F.col("_k"), "left").withColumn(column, value).drop("_k", "_v")

@@ -106,3 +106,23 @@ def test_tree_cuts(spark):
     cuts = tree.labels_of_cuts(t, [2, 3])
     assert tree.reproduces(t, cuts) and not tree.reproduces(t, cuts.assign(label=lambda d: d["leaf"] % d["k"]))
     assert tree.truncated_leaves(t, 3).groupby("group").size().tolist() == [5, 5, 5]
+
+
+def test_small_helpers(spark):
+    from sparkcohort.operators import cluster, describe, reduce, relational
+
+    df, x, truth = blobs(spark, 10)
+    assert cluster.affinity(cluster.distance_matrix(x)).max() == 1.0
+    for kind, k in (("knn", 5), ("self_tuning", 5)):
+        values = cluster.smallest_eigenvalues(cluster.affinity(cluster.distance_matrix(x), kind, k), 8)
+        assert cluster.largest_gap(values) == 3, kind
+    p = reduce.Pca(df, "v")
+    r = reduce.varimax(p.loadings(2))
+    assert abs(reduce.rotated_shares(p, 2, r).sum() - p.shares()[:2].sum()) < 1e-9
+    maps = frame(spark, [(f, [float(f), float(-f)]) for f in range(5)], "f int, t array<double>")
+    assert {m.component: round(m.correlation, 9) for m in reduce.map_reproducibility(maps, maps.selectExpr("f", "array(t[1], t[1]) as t"), "f").collect()} == {0: -1.0, 1: 1.0}
+    v = frame(spark, [("b",), ("z",), ("a",), ("a",)], "v string")
+    assert [w["value"] for w in describe.ordered_values(v, "v", ["z"]).orderBy("place").collect()] == ["z", "a", "b"]
+    assert describe.representative_values(frame(spark, [(2,), (9,), (4,), (4,)], "v int"), "v").first()["values"] == [2, 4, 9]
+    rows, table = frame(spark, [(1,), (2,), (3,)], "k int"), frame(spark, [(1, "x"), (2, " ")], "k int, c string")
+    assert {q.k: q.c for q in relational.lookup(rows, table, "k", "c").collect()} == {1: "x", 2: "unknown", 3: "unknown"}
