@@ -22,6 +22,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparkcohort.llm.shared import tidy
+
 #: Sequences of one task are numbered from its partition's number times this.
 STRIDE = 1 << 33
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
@@ -40,6 +42,18 @@ def load_tokenizer(path: str | None):
     return Tokenizer.from_file(path)
 
 
+class _Seen(dict):
+    """Numbers words in the order of their first sight and lists the new ones."""
+
+    def __init__(self) -> None:
+        self.new: list[bytes] = []
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self)
+        self.new.append(word)
+        return n
+
+
 class WordEncoder:
     """Ids of texts, each distinct word encoded once while it stays in a bounded memo.
 
@@ -47,41 +61,75 @@ class WordEncoder:
     mark after them are separate tokens, so a word that ends in one shares the ids of its letters.
     """
 
-    def __init__(self, path: str | None, most_words: int = 1_000_000) -> None:
+    def __init__(self, path: str | None, most_words: int = 1_600_000) -> None:
         self.tokenizer, self.most_words = load_tokenizer(path), most_words
-        self.ids: dict[bytes, bytes] = {}
-        self.marks = dict(zip((b".", b","), self._encode([b".", b","]), strict=True))
-
-    def _encode(self, words: list[bytes]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
-
-    def _learn(self, new: set[bytes]) -> None:
-        if len(self.ids) > self.most_words:
-            self.ids.clear()
-        ids, marks = self.ids, self.marks
-        ending = [w for w in new if w[-1:] in marks and (w[:-1].isalpha() or not w.isascii() and w[:-1].decode().isalpha())]
-        plain = list((new.difference(ending) | {w[:-1] for w in ending}) - ids.keys())
-        for at in range(0, len(plain), 10_000):
-            ids.update(zip(plain[at : at + 10_000], self._encode(plain[at : at + 10_000]), strict=True))
-        ids.update((w, ids[w[:-1]] + marks[w[-1:]]) for w in ending)
+        self.marks = {m: self._ids([m])[0] for m in ".,"}
+        self.stems: dict[str, bytes] = {}
+        self._reset()
+
+    def _reset(self) -> None:
+        self.seen = _Seen()
+        self.flat, self.used = np.empty(1 << 16, np.uint32), 0
+        self.first, self.count = np.empty(1 << 15, np.int64), np.empty(1 << 15, np.int64)
+
+    def _ids(self, texts: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    @staticmethod
+    def _parts(word: bytes) -> tuple[str, str]:
+        """Letters and the mark after them where a word has that form, else the word and nothing. ASCII goes to lower case, as in the tokenizer."""
+        text = word.decode()
+        if text[-1] in ".," and text[:-1].isalpha():
+            return (text[:-1].lower() if word.isascii() else text[:-1]), text[-1]
+        return (text.lower() if word.isascii() and text.isalpha() else text), ""
+
+    def _learn(self) -> None:
+        new, self.seen.new = self.seen.new, []
+        parts = list(map(self._parts, new))
+        if len(self.stems) > 3 * self.most_words // 4:
+            self.stems.clear()
+        missing = list({stem for stem, _ in parts if stem not in self.stems})
+        for at in range(0, len(missing), 10_000):
+            self.stems.update(zip(missing[at : at + 10_000], self._ids(missing[at : at + 10_000]), strict=True))
+        stems, marks = self.stems, self.marks
+        found = [stems[stem] + marks[mark] if mark else stems[stem] for stem, mark in parts]
+        counts = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        values = np.frombuffer(b"".join(found), np.uint32)
+        base = len(self.seen) - len(new)
+        while len(self.seen) > len(self.first):
+            self.first, self.count = np.concatenate([self.first, self.first]), np.concatenate([self.count, self.count])
+        while self.used + len(values) > len(self.flat):
+            self.flat = np.concatenate([self.flat, self.flat])
+        self.first[base : len(self.seen)] = self.used + np.cumsum(counts) - counts
+        self.count[base : len(self.seen)] = counts
+        self.flat[self.used : self.used + len(values)] = values
+        self.used += len(values)
 
     def __call__(self, texts: list[bytes]) -> list[np.ndarray]:
         """The ids of each text."""
         # of bytes: at ASCII white space only; ASCII goes to lower case in the tokenizer too, but for special tokens' names
         words = [(t.lower() if t.isascii() and b"<|" not in t else t).split() for t in texts]
-        distinct = set(chain.from_iterable(words))
-        if len(self.ids) > self.most_words:
-            self._learn(distinct)
-        elif new := distinct - self.ids.keys():
-            self._learn(new)
-        of = self.ids.__getitem__
-        return [np.frombuffer(b"".join(map(of, w)), np.uint32) for w in words]
+        if len(self.seen) > self.most_words:
+            self._reset()
+        ends = np.cumsum([len(w) for w in words])
+        index = np.fromiter(map(self.seen.__getitem__, chain.from_iterable(words)), np.int64, int(ends[-1]) if len(ends) else 0)
+        if self.seen.new:
+            self._learn()
+        counts = self.count[index]
+        upto = np.concatenate([[0], np.cumsum(counts)])
+        ids = self.flat[np.repeat(self.first[index] - upto[:-1], counts) + np.arange(upto[-1])]
+        return np.split(ids, upto[ends[:-1]])
 
 
 @lru_cache(maxsize=2)
-def word_encoder(path: str | None) -> WordEncoder:
+def word_encoder(path: str | None, most_words: int = 1_600_000) -> WordEncoder:
     """One encoder for all tasks of a worker: what one has learned serves the next."""
-    return WordEncoder(path)
+    return WordEncoder(path, most_words)
+
+
+def forget_words() -> None:
+    word_encoder.cache_clear()
+    tidy()
 
 
 class Lease:
@@ -89,16 +137,16 @@ class Lease:
 
     timer: threading.Timer | None = None
 
-    def __init__(self, path: str | None, idle_seconds: float = 1.5) -> None:
-        self.path, self.idle_seconds = path, idle_seconds
+    def __init__(self, path: str | None, most_words: int, idle_seconds: float = 20.0) -> None:
+        self.path, self.most_words, self.idle_seconds = path, most_words, idle_seconds
 
     def __enter__(self) -> WordEncoder:
         if Lease.timer:
             Lease.timer.cancel()
-        return word_encoder(self.path)
+        return word_encoder(self.path, self.most_words)
 
     def __exit__(self, *_) -> None:
-        Lease.timer = threading.Timer(self.idle_seconds, word_encoder.cache_clear)
+        Lease.timer = threading.Timer(self.idle_seconds, forget_words)
         Lease.timer.daemon = True
         Lease.timer.start()
 
@@ -208,18 +256,19 @@ class Packer:
             self.windows[fill] = []
 
 
-def pack_documents(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", tokenizer: str | None = None, end_id: int = 2, capacity: int = 4096, most_open: int = 1024) -> DataFrame:
+def pack_documents(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", tokenizer: str | None = None, end_id: int = 2, capacity: int = 4096, most_open: int = 1024, memo_words: int = 1_600_000) -> DataFrame:
     """Pieces of all documents, each with its sequence and place there.
 
     Returns doc_id, start, length, ids (little-endian unsigned 32-bit, as binary), doc_tokens, sequence_id, offset.
     A null or empty text is the end id alone; a null doc_id stays null; rows alike are packed each; an empty table
-    gives no rows; other columns are not read. A task holds its open windows (most_open at most) and one batch.
+    gives no rows; other columns are not read. A task holds its open windows (most_open at most), one batch and
+    a memo of memo_words words (about 250 bytes each).
     Every sequence but those whose length is a power of two has `capacity` tokens.
     """
     kind = docs.schema[doc_id].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        with Lease(tokenizer) as encode:
+        with Lease(tokenizer, memo_words) as encode:
             yield from packed(batches, encode)
 
     def packed(batches: Iterator[pa.RecordBatch], encode: WordEncoder) -> Iterator[pa.RecordBatch]:
