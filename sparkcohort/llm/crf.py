@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from sparkcohort.llm.shared import tidied
+
 SYMBOLS = b"#*$%&|<>"
 FEATURES = 15
 
@@ -156,7 +158,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id
                         xs.append(document_features(body, train_lines)[0].ravel())
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(ys, pa.int32()), pa.array(xs, pa.list_(pa.float64()))], names=["id", "y", "x"])
 
-        got = base.join(F.broadcast(chosen), F.col("doc_id") == F.col("told_id")).select("doc_id", "text", "y").mapInArrow(sample, "id long, y int, x array<double>").orderBy("id", "x").limit(4 * train_docs).collect()
+        got = base.join(F.broadcast(chosen), F.col("doc_id") == F.col("told_id")).select("doc_id", "text", "y").mapInArrow(tidied(sample), "id long, y int, x array<double>").orderBy("id", "x").limit(4 * train_docs).collect()
         if {r["y"] for r in got} == {0, 1}:
             parts = [np.array(r["x"]).reshape(-1, FEATURES) for r in got]
             model = fit([with_neighbours(x, np.arange(len(x)) == 0) for x in parts], [r["y"] for r in got])
@@ -179,5 +181,5 @@ def score_documents(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id
     more = [f"_carried{i}" for i in range(len(carry))]
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), *[F.col(c).alias(m) for c, m in zip(carry, more, strict=True)])
     kind = StructType([f for f in rows.schema if f.name != "text"]).add("score", "double")
-    scored = rows.mapInArrow(run, kind)
+    scored = rows.mapInArrow(tidied(run), kind)
     return scored.select(*[F.col(m).alias(c) for c, m in zip(carry, more, strict=True) if c != doc_id], "doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

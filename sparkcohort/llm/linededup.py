@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkcohort.llm.shared import WORD, cut, forget
+from sparkcohort.llm.shared import WORD, cut, forget, tidied
 
 #: Bytes of deletions that are broadcast at most; beyond that Spark joins by shuffle.
 MOST_BROADCAST = 32_000_000
@@ -132,7 +132,7 @@ def line_deletions(docs: DataFrame, least_words: int) -> DataFrame:
                     gone.append(off)
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(gone, pa.list_(pa.int32()))], names=["row_key", "gone"])
 
-    found = sides.select("later_key", "early", "later").mapInArrow(align, "row_key long, gone array<int>")
+    found = sides.select("later_key", "early", "later").mapInArrow(tidied(align), "row_key long, gone array<int>")
 
     def flag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -144,7 +144,7 @@ def line_deletions(docs: DataFrame, least_words: int) -> DataFrame:
                 flags.append(off.tolist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(flags, pa.list_(pa.bool_()))], names=["row_key", "flags"])
 
-    out = cut(found.groupBy("row_key").agg(F.collect_list("gone").alias("gone")).mapInArrow(flag, "row_key long, flags array<boolean>"), "lines-deleted")
+    out = cut(found.groupBy("row_key").agg(F.collect_list("gone").alias("gone")).mapInArrow(tidied(flag), "row_key long, flags array<boolean>"), "lines-deleted")
     forget(lines, met, by_doc)
     return out
 

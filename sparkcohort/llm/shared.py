@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-import os
+import atexit
+import ctypes
+import shutil
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: A word is a run of characters other than ASCII white space.
@@ -16,7 +20,9 @@ def shared_root(spark: SparkSession) -> str:
     """The folder named in spark.checkpoint.dir; a temporary one only where that is unset (tests)."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = "file://" + os.path.join(tempfile.gettempdir(), f"sparkcohort-{os.getpid()}")
+        local = tempfile.mkdtemp(prefix="sparkcohort-")
+        atexit.register(shutil.rmtree, local, ignore_errors=True)
+        root = f"file://{local}"
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
 
@@ -42,3 +48,21 @@ def forget(*frames: DataFrame) -> None:
             if "/sparkcohort/" in folder:
                 path = hadoop.Path(folder)
                 path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def tidy() -> None:
+    """Give freed memory back to the system: Python workers outlive their tasks, and stages of other operators follow."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim:
+        trim(0)
+
+
+def tidied(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, with tidy() when its partition is done."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        tidy()
+
+    return wrapped

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkcohort.llm.shared import cut, new_folder
+from sparkcohort.llm.shared import cut, new_folder, tidied
 
 URN = "urn:x-page:"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -98,7 +98,7 @@ def write_archives(marked: DataFrame, folder: str, *, most_bytes: int = 1 << 30)
             out.close()
         yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in files], t) for i, t in enumerate((pa.string(), pa.int64(), pa.int64()))], names=["archive", "n_records", "n_bytes"])
 
-    return marked.mapInArrow(run, "archive string, n_records long, n_bytes long")
+    return marked.mapInArrow(tidied(run), "archive string, n_records long, n_bytes long")
 
 
 class Framer:
@@ -199,7 +199,7 @@ def read_archives(archives: DataFrame, *, with_payload: bool = False, rows: int
                     yield pa.RecordBatch.from_pylist(got, schema=kinds)
 
     kinds = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("archive", pa.string()), ("member_offset", pa.int64()), *([("payload", pa.binary())] if with_payload else [])])
-    return archives.select("archive").repartition(max(1, archives.count())).mapInArrow(run, RECORD_SCHEMA + (", payload binary" if with_payload else ""))
+    return archives.select("archive").repartition(max(1, archives.count())).mapInArrow(tidied(run), RECORD_SCHEMA + (", payload binary" if with_payload else ""))
 
 
 def round_trip(pages: DataFrame, *, page_id: str = "page_id", url: str = "url", html: str = "html", least_bytes: int = 0, folder: str | None = None, with_payload: bool = False) -> DataFrame:
