@@ -54,11 +54,12 @@ def _star(edges: DataFrame) -> DataFrame:
 
 def components(edges: DataFrame, a: str = "a", b: str = "b", most: int = 60, one_task: int = ONE_TASK) -> DataFrame:
     """node, label (the smallest node it reaches) of every node with an edge. Nulls and loops join nothing; an empty table gives no rows.
+    edges is read more than once, so it should be a written table.
 
     The table is written to the shared folder after each step, so a lost executor costs one step. It stops when a step
     changes nothing: then every node hangs from its component's smallest.
     """
-    now = cut(edges.select(F.greatest(F.col(a), F.col(b)).alias("a"), F.least(F.col(a), F.col(b)).alias("b")).filter("a <> b"), "edges")
+    now = edges.select(F.greatest(F.col(a), F.col(b)).alias("a"), F.least(F.col(a), F.col(b)).alias("b")).filter("a <> b")
     if now.count() <= one_task:
         return now.coalesce(1).mapInArrow(_union_find, "node long, label long")
     now = cut(now.distinct(), "edges")

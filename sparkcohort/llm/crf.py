@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from sparkcohort.llm.shared import tidied
+from sparkcohort.llm.shared import small_batches, tidied
 
 SYMBOLS = b"#*$%&|<>"
 FEATURES = 15
@@ -142,7 +142,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id
         told = told.filter(fold(F.col("told_id")) != held_out)
     share = told.agg(F.avg("y")).first()[0]
     prior = 0.5 if share is None else float(share)
-    base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    base = small_batches(docs).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     picked = [r for y in (0, 1) for r in told.filter(F.col("y") == y).orderBy(F.xxhash64("told_id"), "told_id").limit(train_docs).collect()]
     model = None
     if {r["y"] for r in picked} == {0, 1}:

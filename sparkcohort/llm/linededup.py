@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkcohort.llm.shared import WORD, cut, forget, tidied
+from sparkcohort.llm.shared import WORD, cut, forget, small_batches, tidied
 
 #: Bytes of deletions that are broadcast at most; beyond that Spark joins by shuffle.
 MOST_BROADCAST = 32_000_000
@@ -101,7 +101,7 @@ def common_blocks(first: list[tuple[int, int]], later: list[tuple[int, int, int]
 def line_deletions(docs: DataFrame, least_words: int) -> DataFrame:
     """row_key, flags: for documents with deletions, whether each \\n-split line goes. docs: row_key, place (order), text."""
     lines = cut(
-        docs.select("row_key", "place", F.posexplode(F.split("text", "\n", -1)).alias("line", "body"))
+        small_batches(docs).select("row_key", "place", F.posexplode(F.split("text", "\n", -1)).alias("line", "body"))
         .select("row_key", "place", "line", F.xxhash64("body").alias("hash"), F.regexp_count("body", F.lit(WORD)).alias("words"))
         .filter("words > 0")
         .distinct(),

@@ -11,7 +11,7 @@
    stay out of the prefix, while families of near copies meet in buckets of their own.
 4. A bucket is never expanded into all its pairs. Its leader (the class most of whose sketch is shared, so an
    original rather than an edited copy) is verified against the members of other components; links are joined into
-   components; then each bucket that still spans components gets new leaders outside its largest component, eight
+   components; then each bucket that still spans components gets new leaders outside its largest component, 64
    times as many each round, until every pair of the bucket is verified or within one component.
 5. A leader meets a member only if their sizes and parity bitmaps allow a link: tokens set bits modulo 2, so two
    bitmaps differ in no more bits than the sets do in tokens. Before a pair's sets are intersected, it must share
@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkcohort.llm.components import components
-from sparkcohort.llm.shared import cut, forget
+from sparkcohort.llm.shared import cut, forget, small_batches, tidied
 from sparkcohort.llm.shingles import shingle_sets
 
 SCRAMBLE = np.int64(-7046029254386353131)
@@ -61,7 +61,7 @@ def shingled(docs: DataFrame, width: int, sketch: int) -> DataFrame:
         ids = [int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True) for s in sets]
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array(ids, pa.int64()), _longs([s[:sketch] for s in sets])], names=["doc_id", "row_key", "n", "class_id", "sketch"])
 
-    return docs.mapInArrow(lambda b: _sets(b, width, emit), "doc_id long, row_key long, n long, class_id long, sketch array<long>")
+    return docs.mapInArrow(tidied(lambda b: _sets(b, width, emit)), "doc_id long, row_key long, n long, class_id long, sketch array<long>")
 
 
 def class_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
@@ -75,7 +75,7 @@ def class_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     keys = wanted.select(F.col("row_key").alias("wanted_key"), "class_id")
     keys = F.broadcast(keys) if wanted.count() <= MOST_BROADCAST else keys
     rows = docs.join(keys, F.col("row_key") == F.col("wanted_key"))
-    return rows.select("class_id", "text").mapInArrow(lambda b: _sets(b, width, emit), "class_id long, n long, tokens array<long>, " + ", ".join(f"{c} long" for c in FACTS[1:]))
+    return rows.select("class_id", "text").mapInArrow(tidied(lambda b: _sets(b, width, emit)), "class_id long, n long, tokens array<long>, " + ", ".join(f"{c} long" for c in FACTS[1:]))
 
 
 def linked(a: np.ndarray, b: np.ndarray, share: int) -> bool:
@@ -112,7 +112,7 @@ def verify(pairs: DataFrame, sets: DataFrame, share: int) -> DataFrame:
     else:
         left, right = (sets.select(F.col("class_id").alias(f"{s}_id"), F.col("tokens").alias(f"{s}_tokens")) for s in "ab")
         joined = pairs.join(left, F.col("a") == F.col("a_id")).join(right, F.col("b") == F.col("b_id"))
-    return joined.select("a", "b", "a_tokens", "b_tokens").mapInArrow(run, "a long, b long, is_link boolean")
+    return joined.select("a", "b", "a_tokens", "b_tokens").mapInArrow(tidied(run), "a long, b long, is_link boolean")
 
 
 def may_link(share: int, other: str = "lead_") -> Column:
@@ -123,45 +123,41 @@ def may_link(share: int, other: str = "lead_") -> Column:
     return (F.abs(F.col("n") - F.col(f"{other}n")) <= differ) & (apart <= differ)
 
 
-def bucket_links(members: DataFrame, sets: DataFrame, share: int, spread: int = 8) -> DataFrame:
-    """node, label of the classes that links join. members: bucket, class_id, rank (lower leads), FACTS."""
-    spark = members.sparkSession
-    labels = None
-    lead, members = 1, cut(members, "ngram-members")
-    verified: list[DataFrame] = []
+def bucket_links(members: DataFrame, facts: DataFrame, sets: DataFrame, share: int, spread: int = 64) -> DataFrame:
+    """node, label of the classes that links join. members: bucket, class_id, rank (lower leads); facts: fact_of, FACTS."""
+    least = [F.least("class_id", "leader").alias("a"), F.greatest("class_id", "leader").alias("b")]
+    members = cut(members, "ngram-members")
+    # the first round, over all buckets, with one leader each: narrow rows, and sizes and bitmaps only for the pairs
+    first = members.groupBy("bucket").agg(F.min(F.struct("rank", "class_id")).alias("x"), F.count(F.lit(1)).alias("m")).filter("m > 1")
+    first = cut(first.select(F.col("bucket").alias("of"), F.col("x.class_id").alias("leader")), "ngram-leaders")
+    left = members.join(first, F.col("bucket") == F.col("of")).filter("class_id <> leader")
+    pairs = left.select(*least).distinct().join(facts.withColumnRenamed("fact_of", "a"), "a")
+    pairs = pairs.join(facts.select(F.col("fact_of").alias("b"), *[F.col(c).alias(f"lead_{c}") for c in FACTS]), "b").filter(may_link(share)).select("a", "b")
+    verified = [cut(verify(pairs, sets, share), "ngram-verified")]
+    written, lead = [members, first], spread
     while True:
-        now = members.withColumn("label", F.col("class_id")) if labels is None else members.join(labels, F.col("class_id") == F.col("node"), "left").withColumn("label", F.coalesce("label", "class_id")).drop("node")
-        if labels is None:
-            spans = now.groupBy("bucket").agg(F.count(F.lit(1)).alias("kinds"), F.lit(None).cast("long").alias("largest"))
-        else:
-            spans = now.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("m")).groupBy("bucket").agg(F.count(F.lit(1)).alias("kinds"), F.max_by("label", F.struct("m", "label")).alias("largest"))
+        labels = components(reduce(DataFrame.unionByName, verified).filter("is_link"))
+        now = left.select("bucket", "class_id", "rank").join(labels, F.col("class_id") == F.col("node"), "left").withColumn("label", F.coalesce("label", "class_id"))
+        spans = now.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("m")).groupBy("bucket").agg(F.count(F.lit(1)).alias("kinds"), F.max_by("label", F.struct("m", "label")).alias("largest"))
         spans = spans.filter("kinds > 1").select(F.col("bucket").alias("span"), "largest")
-        active = cut(now.join(spans, F.col("bucket") == F.col("span")).select("bucket", "class_id", "rank", *FACTS, "label", "largest"), "ngram-active")
+        active = now.join(spans, F.col("bucket") == F.col("span")).join(facts, F.col("class_id") == F.col("fact_of"))
+        active = cut(active.select("bucket", "class_id", "rank", *FACTS, "label", "largest"), "ngram-active")
+        forget(*written)
         if active.isEmpty():
-            break
-        may_lead = active.filter("largest is null or label <> largest")
-        if lead == 1:
-            leaders = may_lead.groupBy("bucket").agg(F.min(F.struct("rank", "class_id", "label", *FACTS)).alias("x")).select("bucket", "x.*")
-        else:
-            order = Window.partitionBy("bucket").orderBy("rank", "class_id")
-            leaders = may_lead.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= lead)
+            forget(active)
+            return cut(labels, "ngram-labels")
+        order = Window.partitionBy("bucket").orderBy("rank", "class_id")
+        leaders = active.filter("label <> largest").withColumn("place", F.row_number().over(order)).filter(F.col("place") <= lead)
         leaders = cut(leaders.select(F.col("bucket").alias("of"), F.col("class_id").alias("leader"), F.col("label").alias("lead_label"), *[F.col(c).alias(f"lead_{c}") for c in FACTS]), "ngram-leaders")
         meet = (F.col("bucket") == F.col("of")) & (F.col("label") != F.col("lead_label")) & may_link(share)
-        pairs = active.join(leaders, meet).select(F.least("class_id", "leader").alias("a"), F.greatest("class_id", "leader").alias("b")).distinct()
-        if verified:
-            old = reduce(DataFrame.unionByName, verified).select(F.col("a").alias("va"), F.col("b").alias("vb"))
-            pairs = pairs.join(old, (F.col("a") == F.col("va")) & (F.col("b") == F.col("vb")), "left_anti")
-        verified.append(cut(verify(pairs, sets, share), "ngram-verified"))
-        labels = cut(components(reduce(DataFrame.unionByName, verified).filter("is_link")), "ngram-labels")
-        used = leaders.select("of", "leader")
-        rest = cut(active.join(used, (F.col("bucket") == F.col("of")) & (F.col("class_id") == F.col("leader")), "left_anti").select("bucket", "class_id", "rank", *FACTS), "ngram-members")
-        forget(members, active, leaders)
-        members, lead = rest, lead * spread
-    forget(members, active)
-    return labels if labels is not None else spark.createDataFrame([], "node long, label long")
-
-
-def ngram_groups(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", width: int = 5, share: int = 75, sketch: int = 48, least_shared: int = 12, hot: int = 16) -> DataFrame:
+        pairs = active.join(leaders, meet).select(*least).distinct()
+        old = reduce(DataFrame.unionByName, verified).select(F.col("a").alias("va"), F.col("b").alias("vb"))
+        verified.append(cut(verify(pairs.join(old, (F.col("a") == F.col("va")) & (F.col("b") == F.col("vb")), "left_anti"), sets, share), "ngram-verified"))
+        left = active.join(leaders.select("of", "leader"), (F.col("bucket") == F.col("of")) & (F.col("class_id") == F.col("leader")), "left_anti")
+        written, lead = [active, leaders], lead * spread
+
+
+def ngram_groups(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", width: int = 5, share: int = 75, sketch: int = 48, least_shared: int = 12, hot: int = 128) -> DataFrame:
     """doc_id, n_shingles, component_id of every document, its row_key (hash of id and text) and whether it stands for its group (keep).
 
     A-Z goes to lower case; words are runs between ASCII white space; a text of fewer words than `width` has its whole
@@ -171,7 +167,7 @@ def ngram_groups(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     are not read. For other shares than 75, choose least_shared so that Binomial(sketch, share / 100) hardly ever is
     below it.
     """
-    base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).select("doc_id", F.xxhash64("doc_id", "text").alias("row_key"), "text")
+    base = small_batches(docs).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).select("doc_id", F.xxhash64("doc_id", "text").alias("row_key"), "text")
     shown = cut(shingled(base, width, sketch), "ngram-sketch")
     of_class = shown.filter("n > 0").groupBy("class_id").agg(F.min("row_key").alias("row_key"), F.min("n").alias("n"), F.first("sketch").alias("sketch"))
     tokens = cut(of_class.select("class_id", F.explode("sketch").alias("token")), "ngram-tokens")
@@ -186,16 +182,16 @@ def ngram_groups(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     if sets.count() > may.count():  # rows alike in id and text
         sets = cut(sets.dropDuplicates(["class_id"]), "ngram-sets")
     facts = cut(sets.select(F.col("class_id").alias("fact_of"), *FACTS), "ngram-facts")
-    ranks = cut(may.join(facts, F.col("class_id") == F.col("fact_of")).select(F.col("class_id").alias("rank_of"), "rank", "is_hot", *FACTS), "ngram-ranks")
-    cold = common.filter(F.col("df") <= hot).select(F.col("token").alias("bucket"), "class_id").join(ranks, F.col("class_id") == F.col("rank_of")).select("bucket", "class_id", "rank", *FACTS)
+    ranks = may.select(F.col("class_id").alias("rank_of"), "rank", "is_hot")
+    cold = common.filter(F.col("df") <= hot).select(F.col("token").alias("bucket"), "class_id").join(ranks, F.col("class_id") == F.col("rank_of")).select("bucket", "class_id", "rank")
     all_tokens = sets.select("class_id", "n", "tokens").join(ranks.filter("is_hot").select("rank_of"), F.col("class_id") == F.col("rank_of")).select("class_id", "n", F.explode("tokens").alias("token"))
     df2 = all_tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter("df > 1").withColumnRenamed("token", "t")
     repeated = all_tokens.join(df2, F.col("token") == F.col("t"))
     own = Window.partitionBy("class_id")
     place = F.row_number().over(own.orderBy("df", "token")) + F.col("n") - F.count(F.lit(1)).over(own)  # tokens of one class only come first
     prefixed = repeated.withColumn("place", place).filter(F.col("place") <= F.col("n") - F.ceil(F.col("n") * share / 100) + 1)
-    warm = prefixed.select(F.xxhash64("token", F.lit("rarest first")).alias("bucket"), "class_id").join(ranks, F.col("class_id") == F.col("rank_of")).select("bucket", "class_id", "rank", *FACTS)
-    labels = bucket_links(cold.unionByName(warm), sets, share)
+    warm = prefixed.select(F.xxhash64("token", F.lit("rarest first")).alias("bucket"), "class_id").join(ranks, F.col("class_id") == F.col("rank_of")).select("bucket", "class_id", "rank")
+    labels = bucket_links(cold.unionByName(warm), facts, sets, share)
     named = shown.join(labels, F.col("class_id") == F.col("node"), "left").withColumn("group", F.when(F.col("n") > 0, F.coalesce("label", "class_id")))
     smallest = named.filter("n > 0").groupBy(F.col("group").alias("of_group")).agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row_key")).alias("smallest"))
     out = named.join(smallest, F.col("group") == F.col("of_group"), "left")

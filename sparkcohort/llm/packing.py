@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkcohort.llm.shared import tidy
+from sparkcohort.llm.shared import small_batches, tidy
 
 #: Sequences of one task are numbered from its partition's number times this.
 STRIDE = 1 << 33
@@ -151,7 +151,7 @@ class Lease:
         Lease.timer.start()
 
 
-def portions(bodies: list[bytes], most: int = 1 << 21) -> Iterator[tuple[int, int]]:
+def portions(bodies: list[bytes], most: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Ranges of texts of about `most` bytes."""
     start = held = 0
     for at, body in enumerate(bodies):
@@ -301,4 +301,4 @@ def pack_documents(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
         yield from flush()
 
     assert kind.typeName() in ("long", "integer", "short", "byte"), f"{doc_id} must be an integer"
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, SCHEMA)
+    return small_batches(docs).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, SCHEMA)

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkcohort.llm.shared import cut, tidied
+from sparkcohort.llm.shared import cut, small_batches, tidied
 
 SYMBOLS = "#*$%&|<>"
 HAS_LETTER = re.compile(rb"[A-Za-z\x80-\xff]")
@@ -124,7 +124,7 @@ def score_quality(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text"
                 cast.append(votes(ratios, edges))
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array([c[i] for c in counts], pa.int64()) for i in range(5)], pa.array(cast, pa.string())], names=["doc_id", *COUNTS, "votes"])
 
-    counted = cut(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(tidied(run), f"doc_id long, {', '.join(f'{c} long' for c in COUNTS)}, votes string"), "rules")
+    counted = cut(small_batches(docs).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(tidied(run), f"doc_id long, {', '.join(f'{c} long' for c in COUNTS)}, votes string"), "rules")
     patterns = {r["votes"]: r["count"] for r in counted.groupBy("votes").count().collect()}  # 3^rules at most
     posterior, _, _ = fit_patterns(patterns)
     by_pattern = spark.createDataFrame(sorted(posterior.items()), "pattern string, posterior double")

@@ -50,6 +50,14 @@ def forget(*frames: DataFrame) -> None:
                 path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def small_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
+    """df, after a lower bound on rows in an Arrow batch where the session has none of its own: texts may be long, and a batch is held in memory on both sides."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if df.sparkSession.conf.get(key, None) is None:
+        df.sparkSession.conf.set(key, str(rows))
+    return df
+
+
 def tidy() -> None:
     """Give freed memory back to the system: Python workers outlive their tasks, and stages of other operators follow."""
     pa.default_memory_pool().release_unused()

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkcohort.llm.shared import cut, new_folder, tidied
+from sparkcohort.llm.shared import cut, new_folder, small_batches, tidied
 
 URN = "urn:x-page:"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -59,7 +59,7 @@ def mark_revisits(pages: DataFrame, *, page_id: str = "page_id", url: str = "url
     Only digests seen twice are joined back: Spark broadcasts that table when it is below its threshold, else
     splits a hot digest's pages (adaptive skew join); pages are never grouped by digest.
     """
-    p = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).alias("url"), F.encode(F.coalesce(F.col(html), F.lit("")), "UTF-8").alias("payload"))
+    p = small_batches(pages).select(F.col(page_id).cast("long").alias("page_id"), F.col(url).alias("url"), F.encode(F.coalesce(F.col(html), F.lit("")), "UTF-8").alias("payload"))
     p = p.withColumn("sha", F.sha1("payload"))
     seen = p.filter(F.octet_length("payload") >= least_bytes).groupBy("sha").agg(F.max("page_id").alias("keeper"), F.count(F.lit(1)).alias("n"))
     repeated = seen.filter("n > 1 and keeper is not null").select(F.col("sha").alias("of_sha"), "keeper")

@@ -34,8 +34,8 @@ def brute(docs):
     return {d: (len(sets[i]), low[find(i)] if sets[i] else d) for i, (d, _) in enumerate(docs)}
 
 
-def got(spark, docs):
-    rows = ngram_groups(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+def got(spark, docs, **how):
+    rows = ngram_groups(spark.createDataFrame(docs, "doc_id long, text string"), **how).collect()
     return {r.doc_id: (r.n_shingles, r.component_id) for r in rows}
 
 
@@ -55,7 +55,9 @@ def test_families_passages_and_short_texts(spark):
     docs += [" ".join(word() for _ in range(rng.randint(1, 12))) for _ in range(40)] + ["one two", "ONE  two", "one two three", "", None, " \n"]
     docs = [(i * 3 + 1, t) for i, t in enumerate(docs)]
     rng.shuffle(docs)
-    assert got(spark, docs) == brute(docs)
+    want = brute(docs)
+    for hot in (4, 16, 128):  # from nearly all buckets under the second order to none
+        assert got(spark, docs, hot=hot) == want
 
 
 def test_table(spark, documents):
