@@ -73,8 +73,7 @@ def class_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), _longs(sets), *bits], names=["class_id", "n", "tokens", *FACTS[1:]])
 
     keys = wanted.select(F.col("row_key").alias("wanted_key"), "class_id")
-    keys = F.broadcast(keys) if wanted.count() <= MOST_BROADCAST else keys
-    rows = docs.join(keys, F.col("row_key") == F.col("wanted_key"))
+    rows = docs.join(small(keys, wanted.count()), F.col("row_key") == F.col("wanted_key"))
     return rows.select("class_id", "text").mapInArrow(tidied(lambda b: _sets(b, width, emit)), "class_id long, n long, tokens array<long>, " + ", ".join(f"{c} long" for c in FACTS[1:]))
 
 
@@ -115,6 +114,11 @@ def verify(pairs: DataFrame, sets: DataFrame, share: int) -> DataFrame:
     return joined.select("a", "b", "a_tokens", "b_tokens").mapInArrow(tidied(run), "a long, b long, is_link boolean")
 
 
+def small(df: DataFrame, rows: int) -> DataFrame:
+    """df to be broadcast where its number of rows allows it; else Spark joins by shuffle."""
+    return F.broadcast(df) if rows <= MOST_BROADCAST else df
+
+
 def may_link(share: int, other: str = "lead_") -> Column:
     """Whether sizes and parity bitmaps of a member and a leader allow a link."""
     both = F.col("n") + F.col(f"{other}n")
@@ -127,6 +131,7 @@ def bucket_links(members: DataFrame, facts: DataFrame, sets: DataFrame, share: i
     """node, label of the classes that links join. members: bucket, class_id, rank (lower leads); facts: fact_of, FACTS."""
     least = [F.least("class_id", "leader").alias("a"), F.greatest("class_id", "leader").alias("b")]
     members = cut(members, "ngram-members")
+    facts = small(facts, facts.count())
     # the first round, over all buckets, with one leader each: narrow rows, and sizes and bitmaps only for the pairs
     first = members.groupBy("bucket").agg(F.min(F.struct("rank", "class_id")).alias("x"), F.count(F.lit(1)).alias("m")).filter("m > 1")
     first = cut(first.select(F.col("bucket").alias("of"), F.col("x.class_id").alias("leader")), "ngram-leaders")
@@ -136,7 +141,8 @@ def bucket_links(members: DataFrame, facts: DataFrame, sets: DataFrame, share: i
     verified = [cut(verify(pairs, sets, share), "ngram-verified")]
     written, lead = [members, first], spread
     while True:
-        labels = components(reduce(DataFrame.unionByName, verified).filter("is_link"))
+        links = reduce(DataFrame.unionByName, verified).filter("is_link")
+        labels = small(components(links), 2 * links.count())
         now = left.select("bucket", "class_id", "rank").join(labels, F.col("class_id") == F.col("node"), "left").withColumn("label", F.coalesce("label", "class_id"))
         spans = now.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("m")).groupBy("bucket").agg(F.count(F.lit(1)).alias("kinds"), F.max_by("label", F.struct("m", "label")).alias("largest"))
         spans = spans.filter("kinds > 1").select(F.col("bucket").alias("span"), "largest")
@@ -157,7 +163,7 @@ def bucket_links(members: DataFrame, facts: DataFrame, sets: DataFrame, share: i
         written, lead = [active, leaders], lead * spread
 
 
-def ngram_groups(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", width: int = 5, share: int = 75, sketch: int = 48, least_shared: int = 12, hot: int = 128) -> DataFrame:
+def ngram_groups(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", width: int = 5, share: int = 75, sketch: int = 48, least_shared: int = 12, hot: int = 16) -> DataFrame:
     """doc_id, n_shingles, component_id of every document, its row_key (hash of id and text) and whether it stands for its group (keep).
 
     A-Z goes to lower case; words are runs between ASCII white space; a text of fewer words than `width` has its whole
@@ -182,9 +188,9 @@ def ngram_groups(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     if sets.count() > may.count():  # rows alike in id and text
         sets = cut(sets.dropDuplicates(["class_id"]), "ngram-sets")
     facts = cut(sets.select(F.col("class_id").alias("fact_of"), *FACTS), "ngram-facts")
-    ranks = may.select(F.col("class_id").alias("rank_of"), "rank", "is_hot")
+    ranks = small(may.select(F.col("class_id").alias("rank_of"), "rank", "is_hot"), may.count())
     cold = common.filter(F.col("df") <= hot).select(F.col("token").alias("bucket"), "class_id").join(ranks, F.col("class_id") == F.col("rank_of")).select("bucket", "class_id", "rank")
-    all_tokens = sets.select("class_id", "n", "tokens").join(ranks.filter("is_hot").select("rank_of"), F.col("class_id") == F.col("rank_of")).select("class_id", "n", F.explode("tokens").alias("token"))
+    all_tokens = sets.select("class_id", "n", "tokens").join(small(may.filter("is_hot").select(F.col("class_id").alias("rank_of")), may.count()), F.col("class_id") == F.col("rank_of")).select("class_id", "n", F.explode("tokens").alias("token"))
     df2 = all_tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter("df > 1").withColumnRenamed("token", "t")
     repeated = all_tokens.join(df2, F.col("token") == F.col("t"))
     own = Window.partitionBy("class_id")
@@ -208,8 +214,7 @@ def one_of_each(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     groups = cut(ngram_groups(docs, doc_id=doc_id, text=text, **how), "ngram-groups")
     keyed = docs.withColumn("_row_key", F.xxhash64(F.col(doc_id).cast("long"), text))
     goes = groups.filter(~F.col("keep")).select(F.col("row_key").alias("_goes")).distinct()
-    goes = F.broadcast(goes) if goes.count() <= MOST_BROADCAST else goes
-    left = keyed.join(goes, F.col("_row_key") == F.col("_goes"), "left_anti")
+    left = keyed.join(small(goes, goes.count()), F.col("_row_key") == F.col("_goes"), "left_anti")
     if not groups.filter("keep").groupBy("row_key").count().filter("count > 1").isEmpty():
         left = left.dropDuplicates(["_row_key"])
     return left.select(*docs.columns)
