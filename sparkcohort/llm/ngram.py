@@ -3,10 +3,11 @@
 1. Every text becomes a class by its shingle set; copies share a class, and only classes go on.
 2. First order (by token number): each class shows its `sketch` smallest tokens. Two sets whose Jaccard similarity
    is t share each of the smallest tokens of their union with chance t, so a linked class shares at least
-   `least_shared` of its sketch with some partner (for t = 3/4, 48 and 12: all but one link in 10^13 do; sets of
-   at most 48 tokens are shown whole, and there the bound is certain). Other classes are alone.
+   `least_shared` of its sketch with some partner (for t = 3/4, 48 and 12: all but one link in 10^13 do). Sets of
+   n <= 48 tokens are shown whole, but a partner of up to n / t may not be: of the 48 smallest tokens of their union
+   (at most n / t tokens) all but (1 - t) n / t are common, and there the bound is certain. Other classes are alone.
 3. Tokens shown by up to `hot` classes are cold buckets. A link that no cold bucket holds has all its shared sketch
-   tokens hot, so both its classes show `least_shared` hot tokens; those classes alone count all their tokens and
+   tokens hot, so both its classes show as many hot tokens as step 2 asks; those classes alone count all their tokens and
    use exact prefixes under the second order, rarest token first: passages that many documents share come last and
    stay out of the prefix, while families of near copies meet in buckets of their own.
 4. A bucket is never expanded into all its pairs. Its leader (the class most of whose sketch is shared, so an
@@ -127,6 +128,12 @@ def may_link(share: int, other: str = "lead_") -> Column:
     return (F.abs(F.col("n") - F.col(f"{other}n")) <= differ) & (apart <= differ)
 
 
+def least_of_short(n: Column, share: int, sketch: int, least_shared: int) -> Column:
+    """Tokens that a set of n <= sketch tokens shares at least with the sketch of a linked set, which may be larger than a sketch."""
+    union = F.floor(100 * n / share)  # at most
+    return F.least(F.ceil(n * share / 100), F.greatest(F.lit(least_shared), sketch - (union - F.ceil(union * share / 100))))
+
+
 def bucket_links(members: DataFrame, facts: DataFrame, sets: DataFrame, share: int, spread: int = 64) -> DataFrame:
     """node, label of the classes that links join. members: bucket, class_id, rank (lower leads); facts: fact_of, FACTS."""
     least = [F.least("class_id", "leader").alias("a"), F.greatest("class_id", "leader").alias("b")]
@@ -181,7 +188,7 @@ def ngram_groups(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     counts = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
     common = tokens.join(counts.withColumnRenamed("token", "t"), F.col("token") == F.col("t"))
     common = cut(common.select("class_id", "token", "df"), "ngram-common")
-    needed = F.when(F.col("n") > sketch, least_shared).otherwise(F.ceil(F.col("n") * share / 100))
+    needed = F.when(F.col("n") > sketch, least_shared).otherwise(least_of_short(F.col("n"), share, sketch, least_shared))
     per = common.groupBy("class_id").agg(F.count(F.lit(1)).alias("shared"), F.count_if(F.col("df") > hot).alias("heated")).join(classes, F.col("class_id") == F.col("of_class"))
     may = cut(per.filter(F.col("shared") >= needed).select("class_id", "row_key", (F.col("heated") >= needed).alias("is_hot"), (1 - F.col("shared") / F.least("n", F.lit(sketch))).alias("rank")), "ngram-may")
     sets = cut(class_sets(base, may, width), "ngram-sets")

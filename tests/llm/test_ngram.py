@@ -60,6 +60,23 @@ def test_families_passages_and_short_texts(spark):
         assert got(spark, docs, hot=hot) == want
 
 
+def test_short_texts_within_longer_ones(spark):
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(7))
+    docs = []
+    for n, m in [(48, 64), (48, 63), (47, 62), (47, 60), (46, 61), (45, 60), (43, 57), (48, 49)] * 12:
+        longer = [word() for _ in range(m + 4)]
+        at = rng.randrange(m - n + 1)
+        docs += [" ".join(longer), " ".join(longer[at : at + n + 4])]
+    common = [word() for _ in range(68)]  # a family whose shared tokens are all hot
+    docs += [" ".join(common[i % 17 : i % 17 + 52]) for i in range(60)] + [" ".join(common)]
+    docs = list(enumerate(docs))
+    want = brute(docs)
+    assert {n for n, _ in want.values()} >= {43, 48, 49, 64} and all(want[i][1] == i - 1 for i in range(1, 192, 2))
+    for hot in (1, 4, 16, 128):
+        assert got(spark, docs, hot=hot) == want
+
+
 def test_table(spark, documents):
     docs = [(r.doc_id, r.text) for r in documents.collect()][:400]
     assert got(spark, docs) == brute(docs)
