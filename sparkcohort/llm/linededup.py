@@ -1,15 +1,18 @@
 """Line dedup by pairwise alignment.
 
-Documents overlap where they share lines. Each line's first holder is the earliest document with that line; a later
-document is paired with the first holders of its lines, so a line in a third of all documents makes one pair for
-each of them and no line is too common to count. A pair is aligned by patience diff: lines that are unique in both
-are anchors, the longest increasing run of anchors is kept and grows over equal neighbours, and what is left is
-aligned again until no block comes off (so moved passages count too). Aligned blocks of at least `least_words` words
-are deleted from the later document.
+Documents overlap where they share units: the shortest run of whole lines with `least_words` words or more that starts
+or that ends at a line. A block of so many words is the union of its units, so whichever documents share a block share
+units. Each unit's first holder is the earliest document with that unit; a later document is paired with the first
+holders of its units, so a unit in a third of all documents makes one pair for each of them and none is too common to
+count. A pair is aligned by patience diff: lines that are unique in both are anchors, the longest increasing run of
+anchors is kept and grows over equal neighbours, and what is left is aligned again until no block comes off (so moved
+passages count too); units that the pair shares beside its alignment count as well. Blocks of at least `least_words`
+words are deleted from the later document.
 """
 
 from __future__ import annotations
 
+import hashlib
 from bisect import bisect_left
 from collections.abc import Iterator
 
@@ -79,9 +82,27 @@ def patience(first: list[int], later: list[int]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
+def units(lines: list[tuple[int, int, int]], least_words: int) -> list[tuple[int, int]]:
+    """Index ranges [start, end) of the units among lines (line, hash, words) that follow each other by number."""
+    out: set[tuple[int, int]] = set()
+    begin = start = total = 0
+    for end, (line, _, words) in enumerate(lines, 1):
+        if end > 1 and line != lines[end - 2][0] + 1:
+            begin, start, total = end - 1, end - 1, 0
+        total += words
+        while total >= least_words:
+            out.add((start, end))
+            total -= lines[start][2]
+            start += 1
+        if start > begin:
+            out.add((start - 1, end))
+    return sorted(out)
+
+
 def common_blocks(first: list[tuple[int, int]], later: list[tuple[int, int, int]], least_words: int) -> list[int]:
     """Positions of the later document's lines in aligned blocks. first: (line, hash); later: (line, hash, words)."""
     gone: list[int] = []
+    whole = later
     while later:
         pairs = patience([h for _, h in first], [h for _, h, _ in later])
         blocks: list[list[int]] = []
@@ -95,7 +116,11 @@ def common_blocks(first: list[tuple[int, int]], later: list[tuple[int, int, int]
             break
         gone += [later[j][0] for j in off]
         later = [x for j, x in enumerate(later) if j not in off]
-    return gone
+    words = {h: n for _, h, n in whole}
+    known = [(i, h, words[h]) for i, h in first if h in words]
+    has = {tuple(h for _, h, _ in known[a:b]) for a, b in units(known, least_words)}
+    beside = {whole[j][0] for a, b in units(whole, least_words) if tuple(h for _, h, _ in whole[a:b]) in has for j in range(a, b)}
+    return [*gone, *sorted(beside.difference(gone))]
 
 
 def line_deletions(docs: DataFrame, least_words: int) -> DataFrame:
@@ -108,12 +133,29 @@ def line_deletions(docs: DataFrame, least_words: int) -> DataFrame:
         "lines",
     )
     held = lines.groupBy("hash").agg(F.min(F.struct("place", "row_key")).alias("low"), F.max(F.struct("place", "row_key")).alias("high"))
-    shared = held.filter("low <> high").select(F.col("hash").alias("of_hash"), F.col("low.row_key").alias("first"))
-    met = cut(lines.join(shared, F.col("hash") == F.col("of_hash")).select("row_key", "line", "hash", "words", "first"), "lines-shared")
-    by_doc = met.groupBy("row_key").agg(F.array_sort(F.collect_list(F.struct("line", "hash", "words"))).alias("own"), F.sum(F.when(F.col("first") != F.col("row_key"), F.col("words"))).alias("seen_before"))
-    by_doc = cut(by_doc, "lines-by-document")
-    late = by_doc.filter(F.col("seen_before") >= least_words).select(F.col("row_key").alias("later_key"), "own")
-    pairs = met.filter("first <> row_key").select("first", "row_key").distinct()
+    shared = held.filter("low <> high").select(F.col("hash").alias("of_hash"))
+    met = cut(lines.join(shared, F.col("hash") == F.col("of_hash")).select("row_key", "line", "hash", "words", "place"), "lines-shared")
+    by_doc = met.groupBy("row_key").agg(F.first("place").alias("place"), F.array_sort(F.collect_list(F.struct("line", "hash", "words"))).alias("own"))
+    by_doc = cut(by_doc.filter(F.aggregate("own", F.lit(0).cast("long"), lambda a, x: a + x["words"]) >= least_words), "lines-by-document")
+
+    def unit_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, hashes = [], []
+            own = batch.column(2)
+            columns, offsets = [c.to_numpy() for c in own.values.flatten()], own.offsets.to_numpy()
+            for i in range(batch.num_rows):
+                lines, codes, words = (c[offsets[i] : offsets[i + 1]] for c in columns)
+                found = {codes[a:b].tobytes() for a, b in units(list(zip(lines.tolist(), codes.tolist(), words.tolist(), strict=True)), least_words)}
+                rows += [i] * len(found)
+                hashes += [int.from_bytes(hashlib.blake2b(x, digest_size=8).digest(), "little", signed=True) for x in found]
+            at = pa.array(rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(hashes, pa.int64())], names=["row_key", "place", "unit"])
+
+    held_units = cut(by_doc.select("row_key", "place", "own").mapInArrow(tidied(unit_hashes), "row_key long, place struct<last:boolean,id:long>, unit long"), "lines-units")
+    firsts = held_units.groupBy("unit").agg(F.min(F.struct("place", "row_key")).alias("low"), F.max(F.struct("place", "row_key")).alias("high"))
+    firsts = firsts.filter("low <> high").select(F.col("unit").alias("of_unit"), F.col("low.row_key").alias("first"))
+    pairs = held_units.join(firsts, F.col("unit") == F.col("of_unit")).filter("first <> row_key").select("first", "row_key").distinct()
+    late = by_doc.select(F.col("row_key").alias("later_key"), "own")
     sides = pairs.join(late, F.col("row_key") == F.col("later_key")).select("first", "later_key", F.col("own").alias("later"))
     sides = sides.join(by_doc.select(F.col("row_key").alias("first_key"), F.transform("own", lambda x: F.struct(x["line"], x["hash"])).alias("early")), F.col("first") == F.col("first_key"))
 
@@ -145,7 +187,7 @@ def line_deletions(docs: DataFrame, least_words: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(flags, pa.list_(pa.bool_()))], names=["row_key", "flags"])
 
     out = cut(found.groupBy("row_key").agg(F.collect_list("gone").alias("gone")).mapInArrow(tidied(flag), "row_key long, flags array<boolean>"), "lines-deleted")
-    forget(lines, met, by_doc)
+    forget(lines, met, by_doc, held_units)
     return out
 
 

@@ -1,3 +1,5 @@
+import random
+
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -69,3 +71,36 @@ def test_no_shared_passage_is_left_where_lines_are_whole(documents):
             if len(line.split()) >= 50:
                 assert line not in seen, (r.doc_id, seen[line])
                 seen[line] = r.doc_id
+
+
+def brute(docs, least=50):
+    """Words left: every run of lines with a word that an earlier document has goes, from `least` words on."""
+    out, earlier = {}, []
+    for i, text in docs:
+        lines = [x for x in text.split("\n") if x.split()]
+        gone = set()
+        for a in range(len(lines)):
+            for b in range(a + 1, len(lines) + 1):
+                run = lines[a:b]
+                if sum(len(x.split()) for x in run) >= least and any(run == e[k : k + b - a] for e in earlier for k in range(len(e))):
+                    gone |= set(range(a, b))
+        out[i] = sum(len(x.split()) for k, x in enumerate(lines) if k not in gone)
+        earlier.append(lines)
+    return out
+
+
+def test_copy_of_a_document_whose_lines_were_all_seen_elsewhere(spark):
+    a, b = ([f"{c}{i} " + " ".join(f"{c}{i}w{j}" for j in range(7)) for i in range(5)] for c in "ab")
+    docs = [(1, "\n".join(a)), (2, "\n".join(b)), (3, "\n".join(a + b)), (4, "\n".join(a + b)), (5, "\n".join([*a, "one more", *b]))]
+    got = run(spark, docs)
+    assert got[3][2] == 0 and got[4] == ("", 10, 10, 0) and got[5][2] == 0
+
+
+def test_equals_brute_force_over_all_earlier_documents(spark):
+    rng = random.Random(3)
+    alphabet = [" ".join(f"l{i}w{j}" for j in range(rng.choice([3, 8, 20, 30, 60]))) for i in range(14)]
+    docs = [(i, "\n".join(rng.choice(alphabet) for _ in range(rng.randint(1, 9)))) for i in range(120)]
+    for i in range(3, 120, 4):  # passages of earlier documents, in another place
+        taken = docs[rng.randrange(i)][1].split("\n")
+        docs[i] = (i, "\n".join([rng.choice(alphabet), *taken[rng.randrange(len(taken)) :], rng.choice(alphabet)]))
+    assert {i: x[3] for i, x in run(spark, docs).items()} == brute(docs)
