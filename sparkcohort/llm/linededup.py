@@ -124,18 +124,21 @@ def common_blocks(first: list[tuple[int, int]], later: list[tuple[int, int, int]
 
 
 def line_deletions(docs: DataFrame, least_words: int) -> DataFrame:
-    """row_key, flags: for documents with deletions, whether each \\n-split line goes. docs: row_key, place (order), text."""
+    """row_key, flags: for documents with deletions, whether each \\n-split line goes. docs: row_key, place (order), text.
+
+    `line` numbers the lines with a word, so that lines without one end no block; `at` is the place among all lines.
+    """
+    split = F.transform(F.split("text", "\n", -1), lambda x, i: F.struct(i.alias("at"), x.alias("body")))
     lines = cut(
-        small_batches(docs).select("row_key", "place", F.posexplode(F.split("text", "\n", -1)).alias("line", "body"))
-        .select("row_key", "place", "line", F.xxhash64("body").alias("hash"), F.regexp_count("body", F.lit(WORD)).alias("words"))
-        .filter("words > 0")
+        small_batches(docs).select("row_key", "place", F.posexplode(F.filter(split, lambda x: x["body"].rlike(WORD))).alias("line", "x"))
+        .select("row_key", "place", "line", "x.at", F.xxhash64("x.body").alias("hash"), F.regexp_count("x.body", F.lit(WORD)).alias("words"))
         .distinct(),
         "lines",
     )
     held = lines.groupBy("hash").agg(F.min(F.struct("place", "row_key")).alias("low"), F.max(F.struct("place", "row_key")).alias("high"))
     shared = held.filter("low <> high").select(F.col("hash").alias("of_hash"))
-    met = cut(lines.join(shared, F.col("hash") == F.col("of_hash")).select("row_key", "line", "hash", "words", "place"), "lines-shared")
-    by_doc = met.groupBy("row_key").agg(F.first("place").alias("place"), F.array_sort(F.collect_list(F.struct("line", "hash", "words"))).alias("own"))
+    met = cut(lines.join(shared, F.col("hash") == F.col("of_hash")).select("row_key", "line", "hash", "words", "at", "place"), "lines-shared")
+    by_doc = met.groupBy("row_key").agg(F.first("place").alias("place"), F.array_sort(F.collect_list(F.struct("line", "hash", "words", "at"))).alias("own"))
     by_doc = cut(by_doc.filter(F.aggregate("own", F.lit(0).cast("long"), lambda a, x: a + x["words"]) >= least_words), "lines-by-document")
 
     def unit_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,7 +147,7 @@ def line_deletions(docs: DataFrame, least_words: int) -> DataFrame:
             own = batch.column(2)
             columns, offsets = [c.to_numpy() for c in own.values.flatten()], own.offsets.to_numpy()
             for i in range(batch.num_rows):
-                lines, codes, words = (c[offsets[i] : offsets[i + 1]] for c in columns)
+                lines, codes, words, _ = (c[offsets[i] : offsets[i + 1]] for c in columns)
                 found = {codes[a:b].tobytes() for a, b in units(list(zip(lines.tolist(), codes.tolist(), words.tolist(), strict=True)), least_words)}
                 rows += [i] * len(found)
                 hashes += [int.from_bytes(hashlib.blake2b(x, digest_size=8).digest(), "little", signed=True) for x in found]
@@ -168,10 +171,11 @@ def line_deletions(docs: DataFrame, least_words: int) -> DataFrame:
             eo, xo = early.offsets.to_numpy(), later.offsets.to_numpy()
             for i, key in enumerate(batch.column(0).to_pylist()):
                 a = list(zip(*(c[eo[i] : eo[i + 1]].tolist() for c in e), strict=True))
-                b = list(zip(*(c[xo[i] : xo[i + 1]].tolist() for c in x), strict=True))
-                if off := common_blocks(a, b, least_words):
+                *b, at = (c[xo[i] : xo[i + 1]].tolist() for c in x)
+                if off := common_blocks(a, list(zip(*b, strict=True)), least_words):
+                    where = dict(zip(b[0], at, strict=True))
                     keys.append(key)
-                    gone.append(off)
+                    gone.append([where[line] for line in off])
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(gone, pa.list_(pa.int32()))], names=["row_key", "gone"])
 
     found = sides.select("later_key", "early", "later").mapInArrow(tidied(align), "row_key long, gone array<int>")
@@ -196,7 +200,7 @@ def dedup_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
 
     Earlier is the smaller doc_id (null last; of equal ids the smaller hash of the text). Rows alike in id and text
     are one document: they lose the same lines, and none to each other. A null text stays null, an empty one empty;
-    lines without a word match nothing and stay; an empty table gives no rows. Columns of docs called n_lines,
+    lines without a word match nothing, end no block and stay; an empty table gives no rows. Columns of docs called n_lines,
     n_removed or words_left are replaced.
     """
     keyed = docs.withColumn("_dedup_key", F.xxhash64(doc_id, text))

@@ -104,3 +104,12 @@ def test_equals_brute_force_over_all_earlier_documents(spark):
         taken = docs[rng.randrange(i)][1].split("\n")
         docs[i] = (i, "\n".join([rng.choice(alphabet), *taken[rng.randrange(len(taken)) :], rng.choice(alphabet)]))
     assert {i: x[3] for i, x in run(spark, docs).items()} == brute(docs)
+
+
+def test_blank_lines_end_no_block(spark):
+    parts = [" ".join(f"p{i}w{j}" for j in range(30)) for i in range(4)]
+    docs = [(1, "head\n" + "\n\n".join(parts) + "\nend"), (2, "\n \t\n\n".join(parts)), (3, "other\n\n" + "\n".join(parts) + "\n\nlast"), (4, "\n\n".join([parts[0], "new", parts[1]]))]
+    got = run(spark, docs)
+    assert got[1][0] == docs[0][1] and got[4][0] == docs[3][1]
+    assert got[2] == ("\n".join([" \t", ""] * 3), 10, 4, 0)
+    assert got[3] == ("other\n\n\nlast", 8, 4, 2)
