@@ -439,8 +439,7 @@ def kmeans(t: Tables) -> DataFrame:
 
 @query()
 def gmm(t: Tables) -> DataFrame:
-    small = t.embeddings.select("vec_id", F.slice("embedding", 1, 4).alias("x"))
-    return cluster.gaussian_mixture(small, "vec_id", "x", 3)[0].select("vec_id", "label")
+    return cluster.gaussian_mixture(t.embeddings.drop("label"), "vec_id", "embedding", 3)[0].select("vec_id", "label")
 
 
 @query()

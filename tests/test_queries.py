@@ -50,3 +50,14 @@ def test_query(spark, duck, name):
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert os.path.exists(DIR)
+
+
+def test_mixture_reads_whole_embeddings(spark):
+    from pyspark.sql import functions as F
+
+    from sparkcohort.operators.cluster import gaussian_mixture
+
+    e = spark.read.parquet(f"{DIR}/embeddings.parquet")
+    fitted = lambda x: {r.vec_id: r.label for r in gaussian_mixture(e.select("vec_id", x.alias("x")), "vec_id", "x", 3)[0].collect()}
+    got = {r.vec_id: r.label for r in entry.queries()["gmm"](spark, DIR).collect()}
+    assert got == fitted(F.col("embedding")) != fitted(F.slice("embedding", 1, 4))
