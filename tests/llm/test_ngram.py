@@ -5,7 +5,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from sparkcohort.llm.components import components
-from sparkcohort.llm.ngram import linked, ngram_groups, one_of_each
+from sparkcohort.llm.ngram import blocks, coarse, deltas, linked, ngram_groups, one_of_each, pack, unpack
 from sparkcohort.llm.shingles import shingle_sets
 
 
@@ -56,8 +56,8 @@ def test_families_passages_and_short_texts(spark):
     docs = [(i * 3 + 1, t) for i, t in enumerate(docs)]
     rng.shuffle(docs)
     want = brute(docs)
-    for hot in (4, 16, 128):  # from nearly all buckets under the second order to none
-        assert got(spark, docs, hot=hot) == want
+    for chunk in (300, 2_000_000):  # many chunks and slices, and one
+        assert got(spark, docs, chunk_tokens=chunk) == want
 
 
 def test_short_texts_within_longer_ones(spark):
@@ -73,15 +73,33 @@ def test_short_texts_within_longer_ones(spark):
     docs = list(enumerate(docs))
     want = brute(docs)
     assert {n for n, _ in want.values()} >= {43, 48, 49, 64} and all(want[i][1] == i - 1 for i in range(1, 192, 2))
-    for hot in (1, 4, 16, 128):
-        assert got(spark, docs, hot=hot) == want
+    for chunk in (500, 2_000_000):
+        assert got(spark, docs, chunk_tokens=chunk) == want
 
 
 def test_table(spark, documents):
-    docs = [(r.doc_id, r.text) for r in documents.collect()][:400]
+    docs = [(r.doc_id, r.text) for r in documents.collect()]
     assert got(spark, docs) == brute(docs)
 
 
+def test_copies_in_many_chunks(spark):
+    copy = " ".join(f"c{i}" for i in range(40))
+    docs = [(i, copy if i % 3 == 0 else " ".join(f"d{i}w{j}" for j in range(30))) for i in range(400)]
+    for chunk in (100, 2_000_000):
+        have = got(spark, docs, chunk_tokens=chunk)
+        assert all(have[i] == ((36, 0) if i % 3 == 0 else (26, i)) for i in range(400))
+
+
+@given(st.lists(st.integers(0, 2**32 - 1), max_size=50, unique=True), st.integers(1, 5))
+def test_packed_columns_come_back(values, buckets):
+    low = np.array(sorted(values), np.uint32)
+    for got, want in zip(unpack(pack(deltas(low), low[::-1]), len(low), 2), (deltas(low), low[::-1]), strict=True):
+        assert (got == want).all()
+    tokens = (low.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
+    found = np.sort(coarse(tokens, buckets))
+    assert sum(end - start for _, start, end in blocks(found)) == len(low) and all(0 <= b < buckets for b, _, _ in blocks(found))
+
+
 def test_edges_and_one_of_each(spark, edges):
     rows = ngram_groups(edges).collect()
     assert len(rows) == edges.count()
@@ -106,11 +124,10 @@ def test_components_of_a_chain_and_a_star(spark):
 
 @given(st.sets(st.integers(-(2**60), 2**60), min_size=1, max_size=40), st.sets(st.integers(-(2**60), 2**60), max_size=8), st.sets(st.integers(-(2**60), 2**60), max_size=8))
 @settings(max_examples=200)
-def test_filters_refuse_no_link(common, x, y):
+def test_sets_link_as_their_counts_say(common, x, y):
     a, b = (np.array(sorted(common | s), np.int64) for s in (x, y))
     n = len(set(a.tolist()) & set(b.tolist()))
-    with np.errstate(over="ignore"):
-        assert linked(a, b, 75) == (100 * n >= 75 * (len(a) + len(b) - n))
+    assert linked(a, b, 75) == (100 * n >= 75 * (len(a) + len(b) - n))
 
 
 @given(st.lists(st.text(alphabet="aAb \n\t\x0bé", max_size=40), max_size=6))
