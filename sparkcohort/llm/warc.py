@@ -25,6 +25,8 @@ from sparkcohort.llm.shared import cut, new_folder, small_batches, tidied
 URN = "urn:x-page:"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 CHUNK = 1 << 18
+#: Repeated digests that are broadcast at most, at 28 bytes each.
+MOST_BROADCAST = 1_000_000
 RECORD_SCHEMA = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, archive string, member_offset long"
 
 
@@ -56,13 +58,15 @@ def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int
 def mark_revisits(pages: DataFrame, *, page_id: str = "page_id", url: str = "url", html: str = "html", least_bytes: int = 0) -> DataFrame:
     """page_id, url, payload, refers_to, is_revisit.
 
-    Only digests seen twice are joined back: Spark broadcasts that table when it is below its threshold, else
-    splits a hot digest's pages (adaptive skew join); pages are never grouped by digest.
+    Who keeps a payload is decided on digests alone. Only digests seen twice are joined back to the payloads: by
+    broadcast up to MOST_BROADCAST of them, so no payload is shuffled; beyond that Spark joins by shuffle and splits a
+    hot digest's pages (adaptive skew join). Pages are never grouped by digest.
     """
     p = small_batches(pages).select(F.col(page_id).cast("long").alias("page_id"), F.col(url).alias("url"), F.encode(F.coalesce(F.col(html), F.lit("")), "UTF-8").alias("payload"))
-    p = p.withColumn("sha", F.sha1("payload"))
+    p = p.withColumn("sha", F.unhex(F.sha1("payload")))
     seen = p.filter(F.octet_length("payload") >= least_bytes).groupBy("sha").agg(F.max("page_id").alias("keeper"), F.count(F.lit(1)).alias("n"))
-    repeated = seen.filter("n > 1 and keeper is not null").select(F.col("sha").alias("of_sha"), "keeper")
+    repeated = cut(seen.filter("n > 1 and keeper is not null").select(F.col("sha").alias("of_sha"), "keeper"), "warc-repeated")
+    repeated = F.broadcast(repeated) if repeated.count() <= MOST_BROADCAST else repeated
     revisit = F.col("keeper").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("keeper"))
     return p.join(repeated, F.col("sha") == F.col("of_sha"), "left").select("page_id", "url", "payload", F.when(revisit, F.col("keeper")).alias("refers_to"), revisit.alias("is_revisit"))
 
