@@ -50,10 +50,9 @@ def line_features(line: bytes, seen: bool) -> tuple[float, ...]:
     )
 
 
-def document_features(text: bytes, most_lines: int | None = None) -> tuple[np.ndarray, list[int]]:
+def document_features(text: bytes) -> tuple[np.ndarray, list[int]]:
     """Features of the \\n-split lines and their lengths in bytes."""
-    lines = text.split(b"\n", most_lines) if most_lines else text.split(b"\n")
-    lines = lines[:most_lines]
+    lines = text.split(b"\n")
     seen: set[bytes] = set()
     rows = []
     for line in lines:
@@ -72,6 +71,14 @@ def with_neighbours(x: np.ndarray, first: np.ndarray) -> np.ndarray:
     return np.hstack([x, before, after])
 
 
+def windows(lines: int, most: int, parts: int = 4) -> list[tuple[int, int]]:
+    """Ranges of at most `most` of the lines: all, or `parts` windows spread evenly from the first line to the last."""
+    if lines <= most:
+        return [(0, lines)]
+    size = max(1, most // parts)
+    return [(s, s + size) for s in sorted({round(i * (lines - size) / (parts - 1)) for i in range(parts)})]
+
+
 def chances(u: list[float], stay: tuple[float, float]) -> list[float]:
     """Marginals of good by forward-backward. u: log odds of each line alone; stay: weights of good-good and bad-bad."""
     gg, bb = math.exp(stay[0]), math.exp(stay[1])
@@ -150,18 +157,19 @@ def score_documents(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id
 
         def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                ids, ys, xs = [], [], []
-                for i, body, y in zip(*(c.to_pylist() for c in (batch.column(0), batch.column(1).cast(pa.binary()), batch.column(2))), strict=True):
-                    if body:
-                        ids.append(i)
+                ys, xs = [], []
+                for body, y in zip(batch.column(0).cast(pa.binary()).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    x = document_features(body)[0]
+                    x = with_neighbours(x, np.arange(len(x)) == 0).astype("<f4")
+                    for start, end in windows(len(x), train_lines):
                         ys.append(y)
-                        xs.append(document_features(body, train_lines)[0].ravel())
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(ys, pa.int32()), pa.array(xs, pa.list_(pa.float64()))], names=["id", "y", "x"])
+                        xs.append(x[start:end].tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array(ys, pa.int32()), pa.array(xs, pa.binary())], names=["y", "x"])
 
-        got = base.join(F.broadcast(chosen), F.col("doc_id") == F.col("told_id")).select("doc_id", "text", "y").mapInArrow(tidied(sample), "id long, y int, x array<double>").orderBy("id", "x").limit(4 * train_docs).collect()
-        if {r["y"] for r in got} == {0, 1}:
-            parts = [np.array(r["x"]).reshape(-1, FEATURES) for r in got]
-            model = fit([with_neighbours(x, np.arange(len(x)) == 0) for x in parts], [r["y"] for r in got])
+        texts = base.filter("text <> ''").join(F.broadcast(chosen), F.col("doc_id") == F.col("told_id")).groupBy("told_id").agg(F.min(F.struct(F.xxhash64("text").alias("hash"), "text")).alias("first"), F.min("y").alias("y"))
+        got = sorted((r["y"], bytes(r["x"])) for r in texts.select("first.text", "y").mapInArrow(tidied(sample), "y int, x binary").collect())  # 4 windows of 2 * train_docs texts at most
+        if {y for y, _ in got} == {0, 1}:
+            model = fit([np.frombuffer(x, "<f4").reshape(-1, 3 * FEATURES) for _, x in got], [y for y, _ in got])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

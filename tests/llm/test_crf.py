@@ -2,7 +2,7 @@ import zlib
 
 import numpy as np
 
-from sparkcohort.llm.crf import chances, document_features, fit, score_documents, with_neighbours
+from sparkcohort.llm.crf import chances, document_features, fit, score_documents, windows, with_neighbours
 
 
 def brute_marginals(u, stay):
@@ -57,3 +57,30 @@ def test_edges(edges, labels, spark):
     kept = score_documents(edges, labels, carry=["lang", "key"])
     assert kept.columns == ["lang", "key", "doc_id", "held_out", "score", "predicted"]
     assert document_features(b"")[0].shape[0] == 1
+
+
+def test_windows_spread_over_the_text():
+    assert windows(10, 64) == [(0, 10)]
+    assert windows(1000, 64) == [(0, 16), (328, 344), (656, 672), (984, 1000)]
+    assert windows(3, 1) == [(0, 1), (1, 2), (2, 3)]
+
+
+def test_junk_after_a_good_head_counts(documents, labels, spark):
+    good = [r.text for r in documents.join(labels, "doc_id").filter("quality = 1").orderBy("doc_id").limit(8).collect()]
+    junk = [r.text for r in documents.join(labels, "doc_id").filter("quality = 0").orderBy("doc_id").limit(8).collect()]
+    halves = []
+    for g, j in zip(good, junk):
+        many = max(1, len(g) // max(1, len(j)))
+        halves.append(g + "\n" + "\n".join([j] * many))
+    docs = spark.createDataFrame(list(enumerate(good + junk + halves)), "doc_id long, text string")
+    mixed = documents.select("doc_id", "text").unionByName(docs.selectExpr("doc_id + 1000000000 AS doc_id", "text"))
+    by = {r.doc_id - 1000000000: r.score for r in score_documents(mixed, labels).filter("doc_id >= 1000000000").collect()}
+    assert np.mean([by[i] for i in range(8)]) > 0.9 and np.mean([by[8 + i] for i in range(8)]) < 0.1
+    assert all(min(by[i], by[8 + i]) - 0.05 <= by[16 + i] <= max(by[i], by[8 + i]) + 0.05 for i in range(8))
+    assert 0.1 < np.mean([by[16 + i] for i in range(8)]) < 0.9
+
+
+def test_several_texts_of_one_id_teach_once(spark, documents, labels):
+    twice = documents.unionByName(documents)
+    a = {r.doc_id: r.score for r in score_documents(documents, labels).collect()}
+    assert a == {r.doc_id: r.score for r in score_documents(twice, labels).collect()}
