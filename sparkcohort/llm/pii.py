@@ -1,10 +1,12 @@
 """Personal data: base patterns, and bootstrapped contextual extraction of identifiers they do not know.
 
 All of it is DataFrame operations. Base spans come from the regular expressions' matches and the gaps between
-them. Then every token with a digit in it is an instance, with lexical patterns: the word before it, the two words
-before it, its own prefix up to = or :, and its leading letters with its length. Instances that look like keys
-(long hexadecimal or upper-case runs) are seeds. Pattern and instance scores are updated in turn over the graph of
-distinct (pattern, instance) edges; instances that confident patterns vouch for become spans of kind secret.
+them. Then every token with a digit, or with =, : or @ before its end, is an instance, with lexical patterns: the word before it, the two
+words before it, its own prefix up to = or :, and its leading letters with its length. Seeds are instances that look
+like keys (long hexadecimal or upper-case runs) and, at a lower weight, those that are base spans or their beginning:
+what stands where emails, addresses and phone numbers stand is probably one too. Pattern and instance scores are updated
+in turn over the graph of distinct (pattern, instance) edges; instances that confident patterns vouch for become spans of
+kind secret.
 """
 
 from __future__ import annotations
@@ -26,8 +28,12 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 GATES = {"email": "@", "phone": "+"}
-TOKEN = r"(?<!\S)[^\s0-9]*+[0-9]\S*+"
+TOKEN = r"(?<!\S)[^\s0-9=:@]*+(?:[0-9]|[=:@](?=\S))\S*+"
+#: Tokens that are base spans or begin one.
+KNOWN = rf"{PATTERNS['email']}|{PATTERNS['ip']}|^\+[0-9][0-9().-]*$"
 BLOCK = 64
+#: What a base span says of its context; below 1, as base spans also stand in contexts of all kinds.
+BASE_WEIGHT = 0.8
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -93,7 +99,7 @@ def base_spans(text: Column, kind: str) -> Column:
 
 
 def instances(text: Column) -> Column:
-    """array<struct<s, e, value, patterns, seed>>: tokens with a digit, without the quotes and marks around them."""
+    """array<struct<s, e, value, patterns, seed, base>>: tokens, without the quotes and marks around them. seed: weight of what is known of the form alone."""
     bare = r"^[\"'(\[{<]*+((?:[^=:\s]{1,40}[=:])?)[\"'(\[{<]*+(.*?)[\"')\]}>.,;:!?]*$"
 
     def one(x: Column) -> Column:
@@ -108,30 +114,32 @@ def instances(text: Column) -> Column:
         lead = F.regexp_extract(v, "^[A-Za-z]{2,4}", 0)
         patterns = F.array(F.when(F.size(w) > 0, F.concat(F.lit("1 "), last)), F.when(F.size(w) > 1, F.concat(F.lit("2 "), two)), F.when(x["own"] != "", F.concat(F.lit("= "), x["own"])), F.when(F.length(lead) == 4, F.concat(F.lit("a "), lead, F.lit(" "), F.length(v).cast("string"))))
         mixed = v.rlike("[0-9].*[A-Za-z]|[A-Za-z].*[0-9]")
-        seed = mixed & (v.rlike("^[0-9a-f]{16,64}$") | v.rlike("^[0-9A-Z]{20,40}$"))
-        return F.struct(x["s"], x["e"], v.alias("value"), F.array_compact(patterns).alias("patterns"), seed.alias("seed"))
+        key = mixed & (v.rlike("^[0-9a-f]{16,64}$") | v.rlike("^[0-9A-Z]{20,40}$"))
+        base = v.rlike(KNOWN)
+        seed = F.when(base, BASE_WEIGHT).when(key, 1.0).otherwise(0.0)
+        return F.struct(x["s"], x["e"], v.alias("value"), F.array_compact(patterns).alias("patterns"), seed.alias("seed"), base.alias("base"))
 
-    known = lambda v: v.rlike(PATTERNS["email"]) | v.rlike(PATTERNS["ip"]) | v.rlike(r"^[0-9().+-]*$")
-    found = F.filter(F.transform(matches(text, TOKEN), one), lambda x: F.length(x["value"]).between(10, 256) & ~known(x["value"]))
-    kind = "array<struct<s:bigint,e:bigint,value:string,patterns:array<string>,seed:boolean>>"
-    return F.when(text.rlike("[0-9]"), F.transform(found, described).cast(kind)).otherwise(F.array().cast(kind))
+    told = lambda x: x["value"].rlike("[0-9@]") | (x["own"] != "")
+    found = F.filter(F.transform(matches(text, TOKEN), one), lambda x: F.length(x["value"]).between(6, 256) & told(x))
+    kind = "array<struct<s:bigint,e:bigint,value:string,patterns:array<string>,seed:double,base:boolean>>"
+    return F.when(text.rlike("[0-9=:@]"), F.transform(found, described).cast(kind)).otherwise(F.array().cast(kind))
 
 
 def trusted_values(occurrences: DataFrame, rounds: int, least_instances: int, threshold: float) -> DataFrame:
     """Values that the graph vouches for. occurrences: value, patterns, seed.
 
     A pattern's score is the sum of its instances' scores over their number plus one half; an instance's is what
-    its patterns leave of doubt: 1 - product of (1 - score). Seeds keep score 1. Edges are distinct, so a value or
+    its patterns leave of doubt: 1 - product of (1 - score). Seeds keep their weight. Edges are distinct, so a value or
     context that fills a third of the rows counts once; joins are left to Spark, which splits hot patterns.
     """
     values = occurrences.groupBy("value").agg(F.max("seed").alias("seed"))
     edges = cut(occurrences.select("value", F.explode("patterns").alias("pattern")).distinct(), "pii-edges")
-    scores = cut(values.select("value", F.col("seed").cast("double").alias("score"), "seed"), "pii-values")
+    scores = cut(values.select("value", F.col("seed").alias("score"), "seed"), "pii-values")
     for _ in range(rounds):
         patterns = edges.join(scores, "value").groupBy("pattern").agg(F.sum("score").alias("sum"), F.count(F.lit(1)).alias("n"))
         patterns = patterns.filter(F.col("n") >= least_instances).select("pattern", (F.col("sum") / (F.col("n") + 0.5)).alias("trust"))
         doubt = edges.join(patterns, "pattern").groupBy("value").agg(F.sum(F.log(F.greatest(1 - F.col("trust"), F.lit(1e-9)))).alias("doubt"))
-        scores = cut(scores.drop("score").join(doubt, "value", "left").select("value", F.when(F.col("seed"), 1.0).otherwise(F.coalesce(1 - F.exp("doubt"), F.lit(0.0))).alias("score"), "seed"), "pii-values")
+        scores = cut(scores.drop("score").join(doubt, "value", "left").select("value", F.when(F.col("seed") > 0, F.col("seed")).otherwise(F.coalesce(1 - F.exp("doubt"), F.lit(0.0))).alias("score"), "seed"), "pii-values")
     return scores.filter(F.col("score") >= threshold).select("value", "score")
 
 
@@ -149,7 +157,7 @@ def find_pii(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", rou
     found = cut(base.select("doc_id", F.xxhash64("doc_id", "body").alias("key"), *[base_spans(F.col("body"), k).alias(k) for k in KINDS], instances(F.col("body")).alias("found")), "pii-spans")
     seen = found.filter(F.size("found") > 0).select("key", F.explode("found").alias("x")).select("key", "x.*")
     trusted = trusted_values(seen, rounds, least_instances, threshold)
-    extra = seen.join(trusted, "value").select("key", F.struct("s", "e").alias("span")).distinct().groupBy(F.col("key").alias("of_key")).agg(F.array_sort(F.collect_list("span")).alias("secret"))
+    extra = seen.filter(~F.col("base")).join(trusted, "value").select("key", F.struct("s", "e").alias("span")).distinct().groupBy(F.col("key").alias("of_key")).agg(F.array_sort(F.collect_list("span")).alias("secret"))
     joined = found.join(extra, F.col("key") == F.col("of_key"), "left")
     return joined.select("doc_id", *KINDS, F.coalesce("secret", F.array().cast("array<struct<s:bigint,e:bigint>>")).alias("secret"))
 

@@ -55,3 +55,17 @@ def test_contexts_discover_values_that_are_no_seeds(spark):
     texts = dict(docs)
     assert all([texts[i][x.s : x.e] for x in rows[i].secret] == [re.search(r"password=(\S+)", texts[i])[1]] for i in [*range(40), *range(100, 105)])
     assert not any(rows[200 + i].secret for i in range(20))
+
+
+def test_base_spans_are_seeds_of_contexts(spark):
+    rng = random.Random(6)
+    words = [f"w{c}{d}" for c in "abcdefghij" for d in "klmnop"]
+    some = lambda: " ".join(rng.choice(words) for _ in range(6))
+    docs = [(i, f"{some()} phone: +1555{1000000 + i * 7} {some()}") for i in range(60)] + [(100 + i, f"{some()} contact=u{i}@ex{i % 9}.com {some()}") for i in range(60)]
+    docs += [(200, f"{some()} phone: 123-45-6789 {some()}"), (201, f"{some()} phone: 98765432 {some()}"), (202, f"{some()} contact=alicesmith {some()}")]
+    docs += [(300 + i, f"{some()} order 10{i}234567 {some()}") for i in range(20)]
+    rows = {r.doc_id: r for r in find_pii(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    texts = dict(docs)
+    found = {i: [texts[i][x.s : x.e] for x in r.secret] for i, r in rows.items() if r.secret}
+    assert found == {200: ["123-45-6789"], 201: ["98765432"], 202: ["alicesmith"]}
+    assert all(len(rows[i].phone) == 1 for i in range(60)) and all(len(rows[100 + i].email) == 1 for i in range(60))
