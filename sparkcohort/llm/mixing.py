@@ -23,6 +23,8 @@ from sparkcohort.llm.shared import WORD, cut
 TINY = 1e-12
 #: Units (of about 100 bytes) that are broadcast at most; beyond that Spark joins by shuffle.
 MOST_BROADCAST = 500_000
+#: Rows alike in id, source and size that one task writes out at most.
+MOST_ALIKE = 100_000
 
 
 def word_count(text: Column) -> Column:
@@ -127,7 +129,12 @@ def mix_sources(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     read. Draws come from hashes of doc_id, source and size, so reruns agree.
     """
     units = settled_units(docs, doc_id, text, source, weights, share, most, block, seed)
-    out = units.withColumn("i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("k")))).withColumn("copies", copies_of(F.col("i")))
+    if (units.agg(F.max("k")).first()[0] or 0) > MOST_ALIKE:  # rows alike by the million are dealt out before they are written one by one
+        units = units.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(k - 1) div {MOST_ALIKE}")))).repartition("doc_id", "source", "size", "part")
+        numbers = F.sequence(F.col("part") * MOST_ALIKE + 1, F.least("k", (F.col("part") + 1) * MOST_ALIKE))
+    else:
+        numbers = F.sequence(F.lit(1).cast("long"), F.col("k"))
+    out = units.withColumn("i", F.explode(numbers)).withColumn("copies", copies_of(F.col("i")))
     return out.select("doc_id", "size", "source", "source_size", F.col("target").cast("double").alias("target"), "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
