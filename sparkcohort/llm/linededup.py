@@ -25,6 +25,8 @@ from sparkcohort.llm.shared import WORD, cut, forget, small_batches, tidied
 
 #: Bytes of deletions that are broadcast at most; beyond that Spark joins by shuffle.
 MOST_BROADCAST = 32_000_000
+#: Rows of one or two numbers that are broadcast at most; beyond that Spark joins by shuffle and splits hot numbers.
+MOST_ROWS = 1_000_000
 
 
 def longest_run(values: list[int]) -> list[int]:
@@ -123,6 +125,10 @@ def common_blocks(first: list[tuple[int, int]], later: list[tuple[int, int, int]
     return [*gone, *sorted(beside.difference(gone))]
 
 
+def small(written: DataFrame) -> DataFrame:
+    return F.broadcast(written) if written.count() <= MOST_ROWS else written
+
+
 def line_deletions(docs: DataFrame, least_words: int) -> DataFrame:
     """row_key, flags: for documents with deletions, whether each \\n-split line goes. docs: row_key, place (order), text.
 
@@ -136,8 +142,8 @@ def line_deletions(docs: DataFrame, least_words: int) -> DataFrame:
         "lines",
     )
     held = lines.groupBy("hash").agg(F.min(F.struct("place", "row_key")).alias("low"), F.max(F.struct("place", "row_key")).alias("high"))
-    shared = held.filter("low <> high").select(F.col("hash").alias("of_hash"))
-    met = cut(lines.join(shared, F.col("hash") == F.col("of_hash")).select("row_key", "line", "hash", "words", "at", "place"), "lines-shared")
+    shared = cut(held.filter("low <> high").select(F.col("hash").alias("of_hash")), "lines-held")
+    met = cut(lines.join(small(shared), F.col("hash") == F.col("of_hash")).select("row_key", "line", "hash", "words", "at", "place"), "lines-shared")
     by_doc = met.groupBy("row_key").agg(F.first("place").alias("place"), F.array_sort(F.collect_list(F.struct("line", "hash", "words", "at"))).alias("own"))
     by_doc = cut(by_doc.filter(F.aggregate("own", F.lit(0).cast("long"), lambda a, x: a + x["words"]) >= least_words), "lines-by-document")
 
@@ -156,8 +162,8 @@ def line_deletions(docs: DataFrame, least_words: int) -> DataFrame:
 
     held_units = cut(by_doc.select("row_key", "place", "own").mapInArrow(tidied(unit_hashes), "row_key long, place struct<last:boolean,id:long>, unit long"), "lines-units")
     firsts = held_units.groupBy("unit").agg(F.min(F.struct("place", "row_key")).alias("low"), F.max(F.struct("place", "row_key")).alias("high"))
-    firsts = firsts.filter("low <> high").select(F.col("unit").alias("of_unit"), F.col("low.row_key").alias("first"))
-    pairs = held_units.join(firsts, F.col("unit") == F.col("of_unit")).filter("first <> row_key").select("first", "row_key").distinct()
+    firsts = cut(firsts.filter("low <> high").select(F.col("unit").alias("of_unit"), F.col("low.row_key").alias("first")), "lines-firsts")
+    pairs = held_units.join(small(firsts), F.col("unit") == F.col("of_unit")).filter("first <> row_key").select("first", "row_key").distinct()
     late = by_doc.select(F.col("row_key").alias("later_key"), "own")
     sides = pairs.join(late, F.col("row_key") == F.col("later_key")).select("first", "later_key", F.col("own").alias("later"))
     sides = sides.join(by_doc.select(F.col("row_key").alias("first_key"), F.transform("own", lambda x: F.struct(x["line"], x["hash"])).alias("early")), F.col("first") == F.col("first_key"))
@@ -191,7 +197,7 @@ def line_deletions(docs: DataFrame, least_words: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(flags, pa.list_(pa.bool_()))], names=["row_key", "flags"])
 
     out = cut(found.groupBy("row_key").agg(F.collect_list("gone").alias("gone")).mapInArrow(tidied(flag), "row_key long, flags array<boolean>"), "lines-deleted")
-    forget(lines, met, by_doc, held_units)
+    forget(lines, shared, met, by_doc, held_units, firsts)
     return out
 
 
