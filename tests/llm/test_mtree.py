@@ -2,20 +2,18 @@ import math
 
 import numpy as np
 
+from sparkcohort.llm import mtree
 from sparkcohort.llm.mtree import MTree, top_k
 
 
 def brute(rows, k=20):
-    v = {}
-    for i, x in rows:
-        if i is not None and x is not None and all(c is not None and math.isfinite(c) for c in x):
-            v[i] = [math.floor(64 * float(np.float32(c))) for c in x]
+    v = [(i, tuple(math.floor(64 * float(np.float32(c))) for c in x)) for i, x in rows if i is not None and x is not None and all(c is not None and math.isfinite(c) for c in x)]
     out = []
-    for q in sorted(v):
+    for q, x in sorted(set(v)):
         if q % 20 == 0:
-            best = sorted((-sum(a * b for a, b in zip(v[q], v[c], strict=True)), c) for c in v if c != q)[:k]
+            best = sorted((-sum(a * b for a, b in zip(x, y, strict=True)), c) for c, y in v if c != q)[:k]
             out += [(q, n + 1, c, -s) for n, (s, c) in enumerate(best)]
-    return out
+    return sorted(out)
 
 
 def run(spark, rows, **how):
@@ -32,6 +30,33 @@ def test_ties_copies_nulls_and_blocks(spark):
         assert run(spark, rows, **how) == brute(rows)
 
 
+def test_repeated_rows_count_each(spark):
+    rows = [(i, [float(i % 7), 1.0]) for i in range(50)] * 2 + [(20, [0.5, -1.0]), (3, [6.0, 6.0])]
+    for how in ({}, {"block": 16, "query_block": 2, "page": 4, "fanout": 3, "k": 5}):
+        assert run(spark, rows, **how) == brute(rows, how.get("k", 20))
+
+
+def test_far_cells_are_not_visited(spark):
+    rng = np.random.default_rng(9)
+    centers = rng.normal(size=(12, 10)) * 8
+    x = centers[rng.integers(0, 12, 1500)] + rng.normal(size=(1500, 10)) / 50
+    x /= np.linalg.norm(x, axis=1)[:, None] / 8
+    rows = [(i, r.astype("float32").tolist()) for i, r in enumerate(x)]
+    asked: list[int] = []
+    inner = mtree.dealt
+
+    def counted(table, asks, *how):
+        asked.append(asks.count())
+        return inner(table, asks, *how)
+
+    mtree.dealt = counted
+    try:
+        assert run(spark, rows, block=100, page=16) == brute(rows)
+    finally:
+        mtree.dealt = inner
+    assert asked[0] == 75 and asked[1] < 0.3 * 75 * 15  # of 15 blocks or more
+
+
 def test_few_rows_and_none(spark):
     assert run(spark, [(0, [1.0, 2.0]), (1, [0.5, 0.5])]) == [(0, 1, 1, 64 * 32 + 128 * 32)]
     assert run(spark, []) == [] and run(spark, [(20, [1.0])]) == []
