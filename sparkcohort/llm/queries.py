@@ -12,7 +12,7 @@ from sparkcohort.llm.mtree import top_k
 from sparkcohort.llm.ngram import ngram_groups
 from sparkcohort.llm.packing import pack_documents
 from sparkcohort.llm.pii import KINDS, find_pii, span_text
-from sparkcohort.llm.reputation import judge_urls
+from sparkcohort.llm.reputation import DEFAULT_SUFFIXES, judge_urls
 from sparkcohort.llm.rules import score_quality
 from sparkcohort.llm.warc import round_trip
 
@@ -72,7 +72,8 @@ OP7_SQL = """
 WITH a AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN split_part(split_part(substr(url, strpos(url, '://') + 3), '#', 1), '?', 1) ELSE '' END AS x FROM pages),
 p AS (SELECT page_id, translate(split_part(x, '/', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
   substr(x, length(split_part(x, '/', 1)) + 1) AS path FROM (SELECT page_id, coalesce(x, '') AS x FROM a)),
-g AS (SELECT *, array_to_string(list_slice(string_split(host, '.'), -2, -1), '.') AS dom, list_extract(string_split(host, '.'), -1) AS suf FROM p),
+w AS (SELECT *, string_split(regexp_replace(host, ':[0-9]*$', ''), '.') AS x, array_to_string(list_slice(string_split(regexp_replace(host, ':[0-9]*$', ''), '.'), -2, -1), '.') AS two FROM p),
+g AS (SELECT page_id, host, path, CASE WHEN two IN ({suffixes}) THEN array_to_string(list_slice(x, -3, -1), '.') ELSE two END AS dom, CASE WHEN two IN ({suffixes}) THEN two ELSE list_extract(x, -1) END AS suf FROM w),
 t AS (SELECT doc_id, min(quality) AS good FROM labels WHERE quality IS NOT NULL GROUP BY doc_id),
 o AS (SELECT host, dom, suf, good FROM g JOIN t ON t.doc_id = TRY_CAST(regexp_extract(path, '^/[^/]+/([0-9]{1,18})(?:\\.html|/)?$', 1) AS BIGINT) WHERE host <> ''),
 r AS (SELECT (1 + coalesce(sum(good), 0)) / (2.0 + count(*)) AS root FROM o),
@@ -97,7 +98,7 @@ b AS (SELECT *, alpha / (alpha + beta) - 1.645 * sqrt(alpha * beta / ((alpha + b
 SELECT page_id, host, path, rule,
   CASE WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' WHEN bound >= 0.75 THEN 'allow' ELSE 'block' END AS verdict
 FROM b
-"""
+""".replace("{suffixes}", ", ".join(f"'{x}'" for x in DEFAULT_SUFFIXES))
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -126,10 +127,11 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP10_SQL = """
-WITH v AS (SELECT DISTINCT vec_id, [floor(64 * CAST(x AS DOUBLE)) FOR x IN embedding] AS v FROM embeddings
+WITH v AS (SELECT vec_id, [floor(64 * CAST(x AS DOUBLE)) FOR x IN embedding] AS v FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-p AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0),
-r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM p)
+q AS (SELECT DISTINCT vec_id, v FROM v WHERE vec_id % 20 = 0),
+p AS (SELECT q.vec_id AS query_id, q.v AS asked, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score FROM q JOIN v c ON q.vec_id <> c.vec_id),
+r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id, asked ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM p)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 """
 

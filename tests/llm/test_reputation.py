@@ -1,4 +1,6 @@
-from sparkcohort.llm.reputation import judge_urls
+from pyspark.sql import functions as F
+
+from sparkcohort.llm.reputation import host_groups, judge_urls
 
 
 def pages(spark, urls):
@@ -28,3 +30,14 @@ def test_bad_hosts_are_blocked_and_rare_ones_lean_on_their_domain(spark):
 def test_empty(spark, labels):
     assert judge_urls(pages(spark, ["x"]).limit(0), labels).count() == 0
     assert [r.verdict for r in judge_urls(pages(spark, ["http://a.b/"]), labels.limit(0)).collect()] in (["allow"], ["block"])
+
+
+def test_ports_suffixes_repeated_pages_and_long_urls(spark, labels):
+    hosts = ["a.b.co.uk:8080", "b.co.uk", "x.y.com:80", "com", "", "co.uk"]
+    groups = spark.createDataFrame([(h,) for h in hosts], "h string").select(*host_groups(F.col("h"))).collect()
+    assert [tuple(r) for r in groups] == [("co.uk", "b.co.uk"), ("co.uk", "b.co.uk"), ("com", "y.com"), ("com", "com"), ("", ""), ("co.uk", "co.uk")]
+    urls = ["http://z.net/en/1"] * 3 + ["http://" + "h" * 100_000 + ".net/" + "p" * 100_000, "http://z.net:81/" + "?" * 1000]
+    rows = judge_urls(pages(spark, urls).unionByName(pages(spark, urls)), labels).collect()
+    assert len(rows) == 10 and len({(r.page_id, r.host, r.path, r.rule, r.verdict) for r in rows}) == 5
+    nulls = spark.createDataFrame([(1, None), (None, 1), (None, None)], "doc_id long, quality int")
+    assert judge_urls(pages(spark, urls), nulls).count() == 5
