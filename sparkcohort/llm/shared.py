@@ -16,15 +16,23 @@ from pyspark.sql import DataFrame, SparkSession
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Temporary folders by application, where a local session names none.
+_LOCAL: dict[str, str] = {}
+
+
 def shared_root(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; a temporary one only where that is unset (tests)."""
+    """The folder named in spark.checkpoint.dir; a temporary one only in a local session that names none (tests)."""
     root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        local = tempfile.mkdtemp(prefix="sparkcohort-")
-        atexit.register(shutil.rmtree, local, ignore_errors=True)
-        root = f"file://{local}"
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
+    if root:
+        return root.rstrip("/")
+    context = spark.sparkContext
+    if context.master != "local" and not context.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    if context.applicationId not in _LOCAL:
+        folder = tempfile.mkdtemp(prefix="sparkcohort-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        _LOCAL[context.applicationId] = f"file://{folder}"
+    return _LOCAL[context.applicationId]
 
 
 def new_folder(spark: SparkSession, label: str) -> str:

@@ -1,3 +1,7 @@
+from collections import Counter
+
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from sparkcohort.llm.linededup import dedup_lines
 from sparkcohort.llm.ngram import ngram_groups
@@ -32,15 +36,37 @@ def test_stages_one_by_one(spark, documents, labels):
     assert after.filter("start = 0").count() == before.count()
 
 
-def test_empty_tables(spark, documents, edges):
+def test_empty_tables(spark, documents):
     docs = documents.limit(0)
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, DIR)
     assert docs.count() == 0
 
 
+def test_nulls_ties_long_texts_and_clashing_columns(spark, edges):
+    docs, ids = edges, Counter(r.doc_id for r in edges.collect())
+    for name, stage in corpus_pipeline.STAGES:
+        after = stage(spark, docs, DIR).cache()
+        left = Counter(r.doc_id for r in after.select("doc_id").distinct().collect())
+        assert set(left) <= set(ids), name
+        ids, docs = left, after
+    alone = {name: stage(spark, edges, DIR) for name, stage in corpus_pipeline.STAGES[1:]}
+    kept = [r.doc_id for r in alone["n-gram Jaccard join"].collect()]
+    assert kept.count(5) == 1 and 7 not in kept and 11 not in kept and {1, 2, 3, 6, 8, 9, 10} <= set(kept)
+    deduped = {r.doc_id: r.text for r in alone["line dedup"].filter("doc_id is not null").collect()}
+    assert 7 not in deduped and deduped[1] is None and deduped[2] == ""
+    tokens = alone["packing"].groupBy("doc_id").sum("length").collect()
+    assert {r.doc_id for r in tokens} == set(r.doc_id for r in edges.collect())
+
+
 def test_run_equals_stages(spark):
-    assert corpus_pipeline.run(spark, "/root/testdata/sf0.001").count() > 0
+    small = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, small).cache()
+    totals = lambda df: {(r.doc_id, r.doc_tokens): (r.n, r.copies) for r in df.groupBy("doc_id", "doc_tokens").agg(F.sum("length").alias("n"), F.count_if(F.col("start") == 0).alias("copies")).collect()}
+    want, got = totals(docs), totals(corpus_pipeline.run(spark, small))
+    assert got == want and len(got) > 100 and all(n == copies * t for (_, t), (n, copies) in got.items())
 
 
 def test_every_operator_is_registered():
