@@ -22,7 +22,10 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 
 def save(spark: SparkSession, folder: str, tables: Mapping[str, DataFrame], config: Mapping, *, overwrite: bool = False, validate: Callable[[str], object] | None = None) -> str:
-    """Write all tables and the config beside the target, check them, then rename: a reader sees all of it or nothing."""
+    """Write all tables and the config beside the target, check them, then rename: a reader sees all of it or nothing.
+
+    An old artifact is set aside first and deleted last; if the new one cannot take its place, it comes back.
+    """
     if exists(spark, folder) and not overwrite:
         raise ValueError(f"{folder} exists")
     staged = folder.rstrip("/") + ".staged"
@@ -34,10 +37,18 @@ def save(spark: SparkSession, folder: str, tables: Mapping[str, DataFrame], conf
     if validate:
         validate(staged)
     target = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    if exists(spark, folder):
-        fs.delete(target, True)
+    aside = spark._jvm.org.apache.hadoop.fs.Path(folder.rstrip("/") + ".old")
+    replaces = exists(spark, folder)
+    if replaces:
+        fs.delete(aside, True)
+        if not fs.rename(target, aside):
+            raise OSError(f"{folder} could not be set aside")
     if not fs.rename(p, target):
+        if replaces:
+            fs.rename(aside, target)
         raise OSError(f"{staged} could not be renamed")
+    if replaces:
+        fs.delete(aside, True)
     return folder
 
 

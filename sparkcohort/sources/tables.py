@@ -106,11 +106,15 @@ def no_duplicates(items: list[tuple[str, object]]) -> dict:
 
 
 def text_sections(text: str, expected: Sequence[str], bullets: Sequence[str] = ()) -> dict[str, str | tuple[str, ...]]:
-    """Markdown sections '## kind: name': a paragraph, or its bullets for the kinds listed; the names must be the expected ones."""
+    """Markdown sections '## kind: name': a paragraph, or its bullets for the kinds listed; the names must be the expected ones, each once and with text."""
     out: dict[str, str | tuple[str, ...]] = {}
     for head, body in re.findall(r"^## ([^\n]+)\n(.*?)(?=^## |\Z)", text, re.S | re.M):
         kind = head.split(":")[0].strip()
         lines = [x.strip() for x in body.strip().splitlines() if x.strip()]
+        if head.strip() in out:
+            raise ValueError(f"section given twice: {head.strip()}")
+        if not lines:
+            raise ValueError(f"empty section: {head.strip()}")
         out[head.strip()] = tuple(x.removeprefix("- ") for x in lines) if kind in bullets else " ".join(lines)
     if set(out) != set(expected):
         raise ValueError(f"sections differ: {sorted(set(out) ^ set(expected))}")

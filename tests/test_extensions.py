@@ -126,3 +126,20 @@ def test_small_helpers(spark):
     assert describe.representative_values(frame(spark, [(2,), (9,), (4,), (4,)], "v int"), "v").first()["values"] == [2, 4, 9]
     rows, table = frame(spark, [(1,), (2,), (3,)], "k int"), frame(spark, [(1, "x"), (2, " ")], "k int, c string")
     assert {q.k: q.c for q in relational.lookup(rows, table, "k", "c").collect()} == {1: "x", 2: "unknown", 3: "unknown"}
+
+
+def test_artifacts_replace_whole_and_sections_are_given_once(spark, tmp_path):
+    import pytest
+
+    from sparkcohort.sources import artifacts, tables
+
+    folder = f"file://{tmp_path}/run"
+    artifacts.save(spark, folder, {"t": spark.range(2)}, {"v": 1})
+    artifacts.save(spark, folder, {"t": spark.range(5)}, {"v": 2}, overwrite=True)
+    assert artifacts.load(spark, folder, "t").count() == 5 and sorted(x.name for x in tmp_path.iterdir() if not x.name.startswith(".")) == ["run"]
+    with pytest.raises(ValueError):
+        artifacts.save(spark, folder, {"t": spark.range(5)}, {"v": 2})
+    assert tables.text_sections("## a: x\nsome\ntext\n", ["a: x"]) == {"a: x": "some text"}
+    for text in ("## a: x\none\n## a: x\ntwo\n", "## a: x\n\n"):
+        with pytest.raises(ValueError):
+            tables.text_sections(text, ["a: x"])
