@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkcohort.functions.scalars import NOISE
+from sparkcohort.operators.order import bucketed, running
 
 
 def numeric_summary(df: DataFrame, group: str | None, value: str) -> DataFrame:
@@ -95,8 +96,8 @@ def components_for_share(shares: DataFrame, share: float) -> DataFrame:
 
 def ranges(df: DataFrame, value: str) -> DataFrame:
     """first, last of each run of consecutive whole numbers (gaps and islands over the distinct values)."""
-    v = df.select(F.col(value).alias("v")).distinct()
-    return v.withColumn("island", F.col("v") - F.row_number().over(Window.orderBy("v"))).groupBy("island").agg(F.min("v").alias("first"), F.max("v").alias("last")).drop("island")
+    v = bucketed(df.select(F.col(value).alias("v")).filter("v is not null").distinct().withColumn("one", F.lit(1)), "v")
+    return running(v, "v", "one", "place").withColumn("island", F.col("v") - F.col("place")).groupBy("island").agg(F.min("v").alias("first"), F.max("v").alias("last")).drop("island")
 
 
 def top_per_group(df: DataFrame, group: Sequence[str], value: str, n: int, ties: Sequence[str]) -> DataFrame:

@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from sparkcohort.operators.order import bucketed, running
+
 
 def _gamma_upper(a: float, x: float) -> float:
     """Regularised upper incomplete gamma: series below a + 1, continued fraction above."""
@@ -65,8 +67,11 @@ def fisher_two_sided(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) ->
 def mid_ranks(df: DataFrame, value: str, partition: Sequence[str] = ()) -> DataFrame:
     """df with rank: the mean rank of equal values, and ties: how many are equal. Ranks come from counts of distinct values, so equal rows are aggregated first."""
     counts = df.groupBy(*partition, value).agg(F.count(F.lit(1)).alias("_m"))
-    before = F.sum("_m").over(Window.partitionBy(*partition).orderBy(value).rowsBetween(Window.unboundedPreceding, -1))
-    ranked = counts.withColumn("rank", F.coalesce(before, F.lit(0)) + (F.col("_m") + 1) / 2).withColumnRenamed("_m", "ties")
+    if partition:
+        upto = counts.withColumn("_upto", F.sum("_m").over(Window.partitionBy(*partition).orderBy(value)))
+    else:
+        upto = running(bucketed(counts, value), value, "_m", "_upto").drop("_bucket")
+    ranked = upto.withColumn("rank", F.col("_upto") - (F.col("_m") - 1) / 2).drop("_upto").withColumnRenamed("_m", "ties")
     return df.join(ranked, [*partition, value])
 
 
@@ -105,12 +110,15 @@ def category_tests(df: DataFrame, group: str, one: object, two: object, category
 
 
 def benjamini_hochberg(df: DataFrame, key: str, p: str) -> DataFrame:
-    """key, p, p_adjusted: p n / rank, made monotone from the largest p down, at most 1. A list of tests is short; one task orders it."""
-    rank = F.row_number().over(Window.orderBy(p, key))
-    n = F.count(F.lit(1)).over(Window.partitionBy())
-    raw = df.select(key, p, rank.alias("_r"), n.alias("_n")).withColumn("_x", F.col(p) * F.col("_n") / F.col("_r"))
-    low = F.min("_x").over(Window.orderBy("_r").rowsBetween(0, Window.unboundedFollowing))
-    return raw.select(key, p, F.least(F.lit(1.0), low).alias("p_adjusted"))
+    """key, p, p_adjusted: p n / rank, made monotone from the largest p down, at most 1. A null p is no test: it stays null and does not count.
+
+    Equal p take the last rank among them, so only counts of distinct p are ordered.
+    """
+    counts = bucketed(df.filter(F.col(p).isNotNull()).groupBy(F.col(p).alias("_p")).agg(F.count(F.lit(1)).alias("_m")), "_p")
+    n = df.agg(F.count(p).alias("_n"))
+    raw = running(counts, "_p", "_m", "_r").crossJoin(F.broadcast(n)).withColumn("_x", F.col("_p") * F.col("_n") / F.col("_r"))  # one row
+    adjusted = running(raw, "_p", "_x", "_low", "min", descending=True).select("_p", F.least(F.lit(1.0), "_low").alias("p_adjusted"))
+    return df.select(key, p).join(adjusted, F.col(p) == F.col("_p"), "left").select(key, p, "p_adjusted")
 
 
 def squared_correlation(x: Column, y: Column) -> Column:
