@@ -6,7 +6,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -114,6 +114,40 @@ def classical_mds(pairs: pd.DataFrame, k: int) -> pd.DataFrame:
     return pd.DataFrame(x, columns=[f"dim{n}" for n in range(k)]).assign(id=ids)
 
 
+class DualPca:
+    """PCA for more features than rows: the n x n products of centred rows come from their distances, nothing is p x p.
+
+    `values` and `coordinates` (id, dim0, ...) are on the driver, for cohorts of a few thousand rows; axes without variance
+    are left out, and the largest score of each is positive.
+    """
+
+    def __init__(self, pairs: pd.DataFrame, most: int) -> None:
+        self.n = len(set(pairs["i"]) | set(pairs["j"]))
+        if self.n < 2:
+            raise ValueError("two rows are needed")
+        all_axes = classical_mds(pairs, min(most, self.n - 1))
+        dims = [c for c in all_axes.columns if c != "id"]
+        x = all_axes[dims].to_numpy()
+        values = (x**2).sum(0) / (self.n - 1)
+        self.kept = int((values > values.max(initial=0) * 1e-10).sum())
+        flip = np.where(x[np.abs(x).argmax(0), np.arange(x.shape[1])] < 0, -1.0, 1.0)
+        self.values = values[: self.kept]
+        self.coordinates = all_axes.assign(**dict(zip(dims, (x * flip).T, strict=True)))[["id", *dims[: self.kept]]]
+
+    def scores(self, spark: SparkSession) -> DataFrame:
+        """id, scores."""
+        rows = [(int(r[0]), [float(v) for v in r[1:]]) for r in self.coordinates.itertuples(index=False)]
+        return spark.createDataFrame(rows, "id long, scores array<double>")
+
+    def loadings(self, long: DataFrame, key: str) -> DataFrame:
+        """component, feature, loading (unit length over the features) from the long form (key, feature, value; absent = 0): one shuffle by feature."""
+        scores = self.scores(long.sparkSession)
+        sums = [F.sum(F.col("value") * F.get("scores", F.lit(i))).alias(f"c{i}") for i in range(self.kept)]
+        per = long.join(F.broadcast(scores) if self.n <= 20_000 else scores, F.col(key) == F.col("id")).groupBy("feature").agg(*sums)
+        unit = [F.struct(F.lit(i).alias("component"), (F.col(f"c{i}") / float(v * (self.n - 1))).alias("loading")) for i, v in enumerate(self.values)]
+        return per.select("feature", F.explode(F.array(*unit)).alias("u")).select("u.component", "feature", "u.loading")
+
+
 def map_reproducibility(a: DataFrame, b: DataFrame, feature: str, maps: str = "t") -> DataFrame:
     """component, correlation over features of two tables of maps (feature, array)."""
     x = a.select(feature, F.posexplode(maps).alias("component", "x"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sparkcohort.functions import scalars as S
 from sparkcohort.operators import cluster, compare, describe, pairs, reduce, relational, reshape, stability, stats, sweep, tree, validity
+from sparkcohort.plans import matrices, production, tuning
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -108,9 +109,14 @@ def chi_square_residuals(t: Tables) -> DataFrame:
     return rounded(compare.chi_square(priority_status(t))[1])
 
 
-@query()
+def upper_gamma(a: str, x: str) -> str:
+    """SQL of the regularised upper incomplete gamma, by the series of the lower one."""
+    return f"greatest(0.0, 1 - (SELECT sum(exp(({a} + n) * ln({x}) - {x} - lgamma({a} + n + 1))) FROM (SELECT unnest(range(2000)) AS n)))"
+
+
+@query(f"WITH {CHI}, s AS (SELECT sum((n - e) * (n - e) / e) AS chi2, (count(DISTINCT a) - 1) * (count(DISTINCT b) - 1) AS dof FROM g) SELECT round(chi2, 6) AS chi2, CAST(dof AS BIGINT) AS dof, round({upper_gamma('dof / 2.0', 'chi2 / 2')}, 6) AS p FROM s")
 def chi_square_p(t: Tables) -> DataFrame:
-    return compare.chi_square(priority_status(t))[0].withColumn("p", stats.chi2_tail("chi2", "dof"))
+    return rounded(compare.chi_square(priority_status(t))[0].withColumn("p", stats.chi2_tail("chi2", "dof")))
 
 
 @query("SELECT c_mktsegment AS \"group\", count(c_acctbal) AS n_available, count(*) AS n_total, round(avg(c_acctbal), 6) AS mean, round(median(c_acctbal), 6) AS median, round(stddev_samp(c_acctbal), 6) AS sd, round(min(c_acctbal), 6) AS min, round(max(c_acctbal), 6) AS max FROM customer GROUP BY 1")
@@ -362,9 +368,10 @@ def mann_whitney_u(t: Tables) -> DataFrame:
     return rounded(stats.mann_whitney(t.labels.join(t.documents, "doc_id"), "quality", 1, 0, "n_chars").select("n1", "n2", "u", "r"))
 
 
-@query()
+@query(f"""WITH {MW}, m AS (SELECT CAST(n1 AS DOUBLE) AS n1, CAST(n2 AS DOUBLE) AS n2, CAST(n1 + n2 AS DOUBLE) AS n, r1 - n1 * (n1 + 1) / 2.0 AS u, (SELECT CAST(sum(c * (c * c - 1)) AS DOUBLE) FROM (SELECT count(*) AS c FROM v GROUP BY v)) AS t FROM s),
+z AS (SELECT u, greatest(abs(u - n1 * n2 / 2) - 0.5, 0) / sqrt(n1 * n2 / 12 * (n + 1 - t / (n * (n - 1)))) * sign(u - n1 * n2 / 2) AS z FROM m) SELECT round(u, 6) AS u, round(z, 6) AS z, round({upper_gamma('0.5', 'z * z / 2')}, 6) AS p FROM z""")
 def mann_whitney_p(t: Tables) -> DataFrame:
-    return stats.mann_whitney(t.labels.join(t.documents, "doc_id"), "quality", 1, 0, "n_chars").withColumn("p", stats.normal_two_sided("z"))
+    return rounded(stats.mann_whitney(t.labels.join(t.documents, "doc_id"), "quality", 1, 0, "n_chars").select("u", "z", stats.normal_two_sided("z").alias("p")))
 
 
 @query("WITH d AS (SELECT l_extendedprice - 1000 * l_quantity AS d FROM lineitem), k AS (SELECT d, rank() OVER (ORDER BY abs(d)) + (count(*) OVER (PARTITION BY abs(d)) - 1) / 2.0 AS r FROM d WHERE d <> 0) SELECT count(*) AS n, round(sum(r) FILTER (d > 0), 1) AS w_plus, round(sum(r) FILTER (d < 0), 1) AS w_minus FROM k")
@@ -373,9 +380,13 @@ def wilcoxon(t: Tables) -> DataFrame:
     return rounded(stats.wilcoxon_signed(d, "l_extendedprice", "q").select("n", "w_plus", "w_minus"), 1)
 
 
-@query()
+@query("""WITH x AS (SELECT quality AS g, lang FROM labels JOIN documents USING (doc_id) WHERE lang IS NOT NULL AND quality IN (0, 1)), n AS (SELECT count(*) FILTER (g = 1) AS n1, count(*) FILTER (g = 0) AS n0 FROM x),
+c AS (SELECT lang AS category, count(*) FILTER (g = 1) AS a, count(*) FILTER (g = 0) AS c FROM x GROUP BY 1), t AS (SELECT category, a, n1 - a AS b, c, n0 - c AS d, n1, n1 + n0 AS n FROM c, n),
+k AS (SELECT *, a + c AS col, unnest(range(greatest(0, n1 + a + c - n), least(n1, a + c) + 1)) AS k FROM t),
+l AS (SELECT *, lgamma(col + 1) - lgamma(k + 1) - lgamma(col - k + 1) + lgamma(n - col + 1) - lgamma(n1 - k + 1) - lgamma(n - col - n1 + k + 1) - lgamma(n + 1) + lgamma(n1 + 1) + lgamma(n - n1 + 1) AS l FROM k)
+SELECT category, a, b, c, d, CASE WHEN b * c > 0 THEN round(CAST(a AS DOUBLE) * d / (CAST(b AS DOUBLE) * c), 6) END AS odds_ratio, round(least(1.0, sum(exp(l)) FILTER (l <= seen + 1e-7)), 6) AS p FROM (SELECT *, max(CASE WHEN k = a THEN l END) OVER (PARTITION BY category) AS seen FROM l) GROUP BY category, a, b, c, d""")
 def fisher_by_category(t: Tables) -> DataFrame:
-    return stats.category_tests(t.labels.join(t.documents, "doc_id"), "quality", 1, 0, "lang")
+    return rounded(stats.category_tests(t.labels.join(t.documents, "doc_id"), "quality", 1, 0, "lang"))
 
 
 @query("SELECT l_returnflag, round(regr_r2(l_extendedprice, l_quantity), 6) AS r2 FROM lineitem GROUP BY 1")
@@ -480,3 +491,44 @@ def merge_tree_jumps(t: Tables) -> DataFrame:
 def logistic(t: Tables) -> DataFrame:
     c = t.customer.withColumn("y", (F.col("c_mktsegment") == "BUILDING").cast("int"))
     return stats.logistic_vs_rest(c, "y", ["c_acctbal", "c_nationkey"])
+
+
+@query("SELECT CAST(64 AS BIGINT) AS components, round(sum(v), 3) AS variance FROM (SELECT var_samp(CAST(x AS DOUBLE)) AS v FROM (SELECT unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings) GROUP BY i)")
+def dual_pca(t: Tables) -> DataFrame:
+    """All axes together hold the variance of all components."""
+    dual = reduce.DualPca(pairs.dense_pairs(t.embeddings, "vec_id", "embedding").toPandas(), 64)
+    return t.spark.createDataFrame([(dual.kept, round(float(dual.values.sum()), 3))], "components long, variance double")
+
+
+def priority_matrix(t: Tables) -> matrices.Matrix:
+    long = t.orders.groupBy(F.col("o_custkey").alias("c_custkey"), F.col("o_orderpriority").alias("feature")).agg(F.count(F.lit(1)).alias("value"))
+    excluded = t.customer.filter("c_nationkey = 3").select("c_custkey")
+    return matrices.build_matrix(long, t.customer.select("c_custkey", "c_acctbal"), "c_custkey", [("negative balance", F.col("c_acctbal") >= 0)], excluded)
+
+
+IN = "c_acctbal >= 0 AND c_nationkey <> 3"
+
+
+@query(f"SELECT c_custkey, CAST(count(*) AS DOUBLE) AS load, CAST(count(DISTINCT o_orderpriority) AS INT) AS filled FROM customer JOIN orders ON c_custkey = o_custkey WHERE {IN} GROUP BY 1")
+def matrix_rows(t: Tables) -> DataFrame:
+    m = priority_matrix(t)
+    return m.rows.join(m.load, "c_custkey").select("c_custkey", "load", F.size("places").alias("filled"))
+
+
+@query(f"SELECT c_custkey, CASE WHEN c_acctbal >= 0 THEN CASE WHEN c_nationkey = 3 THEN 'excluded by list' ELSE 'not measured' END ELSE 'negative balance' END AS reason FROM customer WHERE NOT coalesce({IN}, false) OR c_custkey NOT IN (SELECT o_custkey FROM orders) UNION ALL SELECT DISTINCT o_custkey, 'not registered' FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer)")
+def matrix_audit(t: Tables) -> DataFrame:
+    return priority_matrix(t).audit
+
+
+@query()
+def tuning_sweep(t: Tables) -> DataFrame:
+    e = t.embeddings.drop("label")
+    swept = tuning.tuning_sweep(e, "vec_id", "embedding", "hac", {"k": [5, 10], "linkage": ["ward", "average"]}, pairs.dense_pairs(e, "vec_id", "embedding"))
+    return rounded(swept.drop("params"))
+
+
+@query()
+def production_results(t: Tables) -> DataFrame:
+    rows = t.embeddings.select(F.col("vec_id").alias("key"), F.col("embedding").alias("x"))
+    labels = cluster.cluster_groups(rows, None, "key", "x", "hac", k=10, linkage="ward").select("key", "label")
+    return rounded(production.hac_results(rows, labels, "ward")[0])
