@@ -164,4 +164,8 @@ def find_pii(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", rou
 
 def span_text(kinds: tuple[str, ...]) -> Column:
     """kind:start:end, comma-joined, kinds in the given order."""
-    return F.concat_ws(",", *[F.transform(k, lambda x, k=k: F.concat_ws(":", F.lit(k), x["s"].cast("string"), x["e"].cast("string"))) for k in kinds])
+
+    def named(kind: str) -> Column:  # a second parameter of the lambda, even one with a default, would be the index
+        return F.transform(kind, lambda x: F.concat_ws(":", F.lit(kind), x["s"].cast("string"), x["e"].cast("string")))
+
+    return F.concat_ws(",", *map(named, kinds))

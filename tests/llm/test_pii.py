@@ -1,3 +1,4 @@
+import hashlib
 import random
 import re
 
@@ -69,3 +70,15 @@ def test_base_spans_are_seeds_of_contexts(spark):
     found = {i: [texts[i][x.s : x.e] for x in r.secret] for i, r in rows.items() if r.secret}
     assert found == {200: ["123-45-6789"], 201: ["98765432"], 202: ["alicesmith"]}
     assert all(len(rows[i].phone) == 1 for i in range(60)) and all(len(rows[100 + i].email) == 1 for i in range(60))
+
+
+def test_query_names_kinds_and_hashes_base_spans(spark, tmp_path):
+    from sparkcohort.llm.queries import op3_pii
+
+    texts = {1: "\U0001f600 a@b.co 1.2.3.4 4111 1111 1111 1111 +1 234 567 890 then x.y@z.org", 2: None, 3: "no span"}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    for r in op3_pii(spark, str(tmp_path)).collect():
+        found = brute(texts[r.doc_id])
+        listed = ",".join(f"{k}:{s}:{e}" for k in KINDS for s, e in found[k])
+        assert (r.spans, r.base_sha256) == (listed, hashlib.sha256(listed.encode()).hexdigest())
+        assert [r[f"n_{k}"] for k in KINDS] == [len(found[k]) for k in KINDS]
