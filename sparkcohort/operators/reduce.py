@@ -114,6 +114,20 @@ def classical_mds(pairs: pd.DataFrame, k: int) -> pd.DataFrame:
     return pd.DataFrame(x, columns=[f"dim{n}" for n in range(k)]).assign(id=ids)
 
 
+class PrimalAxes:
+    """What DualPca has (n, kept, values), for more rows than features: only p x p matrices are on the driver, and scores stay a table."""
+
+    def __init__(self, df: DataFrame, vector: str, most: int) -> None:
+        self.pca = Pca(df, vector)
+        values = self.pca.values[:most]
+        self.n, self.kept = self.pca.n, int((values > values.max(initial=0) * 1e-10).sum())
+        self.values = values[: self.kept]
+
+    def scores(self, df: DataFrame, key: str, vector: str) -> DataFrame:
+        """id, scores; an axis may point the other way than with DualPca."""
+        return self.pca.scores(df, [key], vector, self.kept).withColumnRenamed(key, "id")
+
+
 class DualPca:
     """PCA for more features than rows: the n x n products of centred rows come from their distances, nothing is p x p.
 
@@ -134,6 +148,16 @@ class DualPca:
         self.values = values[: self.kept]
         self.coordinates = all_axes.assign(**dict(zip(dims, (x * flip).T, strict=True)))[["id", *dims[: self.kept]]]
 
+    @classmethod
+    def of_rows(cls, df: DataFrame, key: str, vector: str, most: int) -> DualPca | PrimalAxes:
+        """From the rows: products of rows where there are fewer of them than features; else products of features, whose axes and values are the same."""
+        from sparkcohort.operators.pairs import dense_pairs
+
+        n, width = df.agg(F.count(F.lit(1)), F.max(F.size(vector))).first()
+        if n < 2:
+            raise ValueError("two rows are needed")
+        return cls(dense_pairs(df, key, vector).toPandas(), most) if n <= width else PrimalAxes(df, vector, most)
+
     def scores(self, spark: SparkSession) -> DataFrame:
         """id, scores."""
         rows = [(int(r[0]), [float(v) for v in r[1:]]) for r in self.coordinates.itertuples(index=False)]

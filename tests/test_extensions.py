@@ -143,3 +143,20 @@ def test_artifacts_replace_whole_and_sections_are_given_once(spark, tmp_path):
     for text in ("## a: x\none\n## a: x\ntwo\n", "## a: x\n\n"):
         with pytest.raises(ValueError):
             tables.text_sections(text, ["a: x"])
+
+
+def test_dual_axes_of_many_rows_equal_those_of_their_products(spark, monkeypatch):
+    import numpy as np
+
+    from sparkcohort.operators import pairs, reduce
+
+    x = np.random.default_rng(2).normal(size=(40, 6)) * [5, 4, 3, 2, 1, 0]
+    rows = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "key long, x array<double>")
+    dual = reduce.DualPca(pairs.dense_pairs(rows, "key", "x").toPandas(), 6)
+    few = reduce.DualPca.of_rows(rows.limit(4), "key", "x", 6)
+    assert isinstance(few, reduce.DualPca) and few.kept == 3
+    monkeypatch.setattr(pairs, "dense_pairs", None)
+    axes = reduce.DualPca.of_rows(rows, "key", "x", 6)
+    assert axes.kept == dual.kept == 5 and np.allclose(axes.values, dual.values)
+    got = np.array([r["scores"] for r in axes.scores(rows, "key", "x").orderBy("id").collect()])
+    assert np.allclose(np.abs(got), np.abs(dual.coordinates.sort_values("id").drop(columns="id").to_numpy()))
